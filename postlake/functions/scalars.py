@@ -32,7 +32,7 @@ def extract_id(url: Column | str, pattern: Column | str) -> Column:
     bare = F.regexp_replace(pattern, r"\\.|\[(?:\\.|[^\]\\])*\]", "")
     usable = F.coalesce(bare.rlike(r"\((?:[^?]|\?P?<[A-Za-z])"), F.lit(False))
     safe = F.when(usable, F.regexp_replace(pattern, r"\(\?P<", "(?<")).otherwise(F.lit("()"))
-    return F.coalesce(F.regexp_extract(_col(url), safe, 1), F.lit(""))
+    return F.coalesce(F.call_function("regexp_extract", _col(url), safe, F.lit(1)), F.lit(""))
 
 
 def url_from_template(template: Column | str, external_id: Column | str) -> Column:
