@@ -45,7 +45,12 @@ def plain_text(c: Column | str) -> Column:
 
 def words(c: Column | str) -> Column:
     """Array of lower-case words in text order."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), SPLIT), "")
+
+
+def stop_list() -> str:
+    """The stop words as a SQL list."""
+    return ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def is_stop(token: Column, analyzer: str) -> Column:

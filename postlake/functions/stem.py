@@ -98,9 +98,9 @@ _SHORT = f"(?:[^{VOWELS}][{VOWELS}][^{VOWELS}wxY]|^[{VOWELS}][^{VOWELS}])$"
 
 # In the SQL below, w is the word so far, s the suffix found for the step at hand
 # ('' for none), p the word without it, and r1 and r2 the lengths before the
-# regions. A regex that is anchored at the end finds the longest suffix, which
-# decides the step even when its condition then fails. One regex and one map
-# lookup per step keep the generated code small enough for the JIT.
+# regions. The longest suffix decides a step even when its condition then fails.
+# Suffixes are told by byte comparison; regular expressions, which cost a
+# conversion of the word each, are for the few words that get that far.
 
 
 def _in(region: str) -> str:
@@ -168,18 +168,17 @@ def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
     halt = ", ".join(f"'{x}'" for x in KEPT_AFTER_PLURAL)
 
     row = df.select(F.struct(*df.columns).alias("row"), F.col(word).alias("word"))
-    row = row.selectExpr(
-        "row", "word", f"regexp_replace(regexp_replace(word, '^y', 'Y'), '([{VOWELS}])y', '$1Y') AS w"
-    )
-    special = "nullif(length(regexp_extract(w, '^(?:gener|commun|arsen)', 0)), 0)"
+    marked = f"regexp_replace(regexp_replace(word, '^y', 'Y'), '([{VOWELS}])y', '$1Y')"
+    row = row.selectExpr("row", "word", f"IF(contains(word, 'y'), {marked}, word) AS w")
+    special = "CASE WHEN startswith(w, 'gener') THEN 5 WHEN startswith(w, 'commun') THEN 6 WHEN startswith(w, 'arsen') THEN 5 END"
     row = row.selectExpr("row", "word", "w", f"coalesce({special}, {_region_after('w')}) AS r1")
     row = row.selectExpr("row", "word", "w", "r1", "substring(w, r1 + 1) AS tail")
-    row = row.selectExpr("row", "word", "w", "r1", f"r1 + {_region_after('tail')} AS r2")
+    row = row.selectExpr("row", "word", "w", "r1", f"IF(tail = '', r1, r1 + {_region_after('tail')}) AS r2")
     for step in (_plural, _participle, _final_y, _step2, _step3, _step4, _step5):
         suffixes, new = step()
-        found = f"regexp_extract(w, '(?:{'|'.join(suffixes)})$', 0)"
+        tests = " ".join(f"WHEN endswith(w, '{x}') THEN '{x}'" for x in sorted(suffixes, key=lambda x: -len(x)))
         keep = ["row", "word", "w", "r1", "r2"]
-        row = row.selectExpr(*keep, f"{found} AS s")
+        row = row.selectExpr(*keep, f"CASE {tests} ELSE '' END AS s")
         row = row.selectExpr(*keep, "s", "left(w, length(w) - length(s)) AS p")
         # Some plurals are final: the later steps leave them alone.
         value = new if step is _plural else f"IF(w IN ({halt}), w, {new})"
@@ -190,7 +189,7 @@ def with_stem(df: DataFrame, word: str, out: str) -> DataFrame:
             row = row.selectExpr("row", "word", "transform(array(w), x -> x)[0] AS w", "r1", "r2")
     row = row.selectExpr(
         "row",
-        f"IF(length(word) <= 2, word, coalesce(map({fixed})[word], translate(w, 'Y', 'y'))) AS stem",
+        f"IF(length(word) <= 2, word, coalesce(map({fixed})[word], replace(w, 'Y', 'y'))) AS stem",
     )
     done = settle(row, "stem", F.col("stem"))
     return done.select(*[F.col(f"row.{c}").alias(c) for c in kept], F.col("stem").alias(out))

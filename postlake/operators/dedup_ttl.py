@@ -23,31 +23,34 @@ def accept_with_ttl(
 
     Time is cut into stretches of one ``ttl``. Within one an id is accepted once
     at most, namely at its earliest row that is late enough, which is a minimum
-    with partial sums; so a hot id is no load on any one task. A micro-batch
-    spans one or two stretches; each is written before the next begins.
+    with partial sums; so a hot id is no load on any one task. Only rows of the
+    stretch before can still bar a row, so each step reads what the last one
+    wrote and nothing older. A micro-batch spans one or two stretches.
     """
     spark = refs.sparkSession
-    if state is None:
-        state = spark.createDataFrame([], STATE)
+    first = state if state is not None else spark.createDataFrame([], STATE)
     keyed = refs.where(non_empty("external_id")).select("external_id", "seq", "ts")
     low, high = keyed.agg(F.min("ts"), F.max("ts")).first()
-    marks: list[DataFrame] = []
-    at = low
     period = F.make_dt_interval(secs=F.lit(ttl.total_seconds()))
+    taken: list[DataFrame] = []
+    at = low
     while at is not None and at <= high:
         part = keyed.where((F.col("ts") >= ntz(at)) & (F.col("ts") < ntz(at + ttl)))
-        known = part.join(state, "external_id", "left")
+        bars = first.where(F.col("accepted_at") > ntz(at) - period)
+        if taken:
+            bars = bars.unionByName(taken[-1].select("external_id", F.col("ts").alias("accepted_at")))
+        last = bars.groupBy("external_id").agg(F.max("accepted_at").alias("accepted_at"))
+        known = part.join(last, "external_id", "left")
         free = known.where(F.col("accepted_at").isNull() | (F.col("ts") >= F.col("accepted_at") + period))
-        taken = free.groupBy("external_id").agg(F.min(F.struct("ts", "seq")).alias("m"))
-        taken = cut_lineage(taken.select("external_id", "m.ts", "m.seq"), "ttl-accepted")
-        marks.append(taken)
-        merged = state.unionByName(taken.select("external_id", F.col("ts").alias("accepted_at")))
-        state = merged.groupBy("external_id").agg(F.max("accepted_at").alias("accepted_at"))
-        state = cut_lineage(state, "ttl-state")
+        found = free.groupBy("external_id").agg(F.min(F.struct("ts", "seq")).alias("m"))
+        taken.append(cut_lineage(found.select("external_id", "m.ts", "m.seq"), "ttl-accepted"))
         at = at + ttl
-    accepted = spark.createDataFrame([], "external_id string, seq bigint")
-    for m in marks:
-        accepted = accepted.unionByName(m.select("external_id", "seq"))
-    joined = refs.join(accepted.withColumn("_ok", F.lit(True)), ["external_id", "seq"], "left")
+    accepted = spark.createDataFrame([], "external_id string, ts timestamp_ntz, seq bigint")
+    for t in taken:
+        accepted = accepted.unionByName(t)
+    marks = accepted.select("external_id", "seq", F.lit(True).alias("_ok"))
+    joined = refs.join(marks, ["external_id", "seq"], "left")
     flag = non_empty("external_id") & F.col("_ok").isNull()
-    return joined.select(*[joined[c] for c in refs.columns], flag.alias("is_duplicate")), state
+    labelled = joined.select(*[joined[c] for c in refs.columns], flag.alias("is_duplicate"))
+    every = first.unionByName(accepted.select("external_id", F.col("ts").alias("accepted_at")))
+    return labelled, every.groupBy("external_id").agg(F.max("accepted_at").alias("accepted_at"))

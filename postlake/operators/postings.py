@@ -18,8 +18,8 @@ from postlake.functions.analyze import (
     MAX_POSITIONS,
     WEIGHTS,
     check_analyzer,
-    is_stop,
     plain_text,
+    stop_list,
     words,
 )
 from postlake.functions.stem import with_stem
@@ -28,92 +28,102 @@ BUCKETS = 256
 SALTS = 8
 
 
-def _field_tokens(text: Column | str, analyzer: str) -> Column:
-    """``(x, p)`` of the words kept, stop words skipped but counted."""
-    counted = F.transform(words(text), lambda t, i: F.struct(t.alias("x"), (i + 1).alias("p")))
-    if analyzer == "english":
-        counted = F.filter(counted, lambda s: ~is_stop(s["x"], analyzer))
-    return counted
-
+def document_words(jobs: DataFrame, analyzer: str, keep: list[str]) -> DataFrame:
+    """Adds the words of each field (``_a``, ``_b``, ``_c``) and the offsets of the
+    second and third field in the whole (``o1``, ``o2``).
 
-def document_tokens(jobs: DataFrame, analyzer: str = "simple", keep: list[str] | None = None) -> DataFrame:
-    """Adds ``tokens array<struct<x, f, p>>``: word, field, position in the field,
-    and the offsets of the second and third field in the whole (``o1``, ``o2``)."""
+    A field counts up to its last word that is kept, so stop words at its end
+    take no room.
+    """
     check_analyzer(analyzer)
-    keep = keep if keep is not None else ["id"]
     # One projection per stage: an array used twice is then computed once.
     split = jobs.select(
         *keep,
-        _field_tokens("title", analyzer).alias("_a"),
-        _field_tokens("location", analyzer).alias("_b"),
-        _field_tokens(plain_text("description"), analyzer).alias("_c"),
+        words("title").alias("_a"),
+        words("location").alias("_b"),
+        words(plain_text("description")).alias("_c"),
     )
-    # A field counts up to its last word kept.
-    last = "coalesce(get({0}, size({0}) - 1).p, 0)"
-    sized = split.selectExpr(
-        *keep, "_a", "_b", "_c", f"{last.format('_a')} AS _na", f"{last.format('_b')} AS _nb"
+    if analyzer == "english":
+        kept = "array_compact(transform({0}, (t, i) -> IF(t IN ({1}), NULL, i + 1)))"
+        ends = [f"coalesce(array_max({kept.format(c, stop_list())}), 0)" for c in ("_a", "_b")]
+    else:
+        ends = ["size(_a)", "size(_b)"]
+    sized = split.selectExpr(*keep, "_a", "_b", "_c", f"{ends[0]} AS _na", f"{ends[1]} AS _nb")
+    return sized.selectExpr(*keep, "_a", "_b", "_c", "_na AS o1", "_na + _nb AS o2")
+
+
+def in_fields(value: str) -> str:
+    """SQL for one array over all fields. ``value`` is the entry for word ``t`` at
+    ``{p}`` with weight ``{w}``; null entries are left out."""
+    offsets = ("0", "o1", "o2")
+    parts = ", ".join(
+        f"transform({c}, (t, i) -> {value.format(p=f'i + 1 + {o}', w=f'{w}D')})"
+        for c, o, w in zip(("_a", "_b", "_c"), offsets, WEIGHTS.values())
     )
-    tag = "transform({0}, s -> named_struct('x', s.x, 'f', {1}, 'p', s.p))"
-    tokens = ", ".join(tag.format(c, f) for f, c in enumerate(("_a", "_b", "_c")))
-    return sized.selectExpr(*keep, f"concat({tokens}) AS tokens", "_na AS o1", "_na + _nb AS o2")
+    return f"array_compact(concat({parts}))"
 
 
-def word_positions(jobs: DataFrame, analyzer: str = "simple") -> DataFrame:
-    """``(id, word, places, o1, o2)``, one row per document and distinct word.
+def word_positions(
+    jobs: DataFrame, analyzer: str = "simple", initials: list[str] | None = None
+) -> DataFrame:
+    """``(id, word, places)``, one row per document and distinct word.
 
-    ``places`` is ``array<struct<f, p>>`` in text order. No shuffle: the sort and
-    the cut happen inside the row.
+    ``places`` is ``array<struct<p, w>>`` in text order, without the limits of
+    :func:`capped`. No shuffle: the sort and the cut happen inside the row.
+    ``initials`` keeps words by their first letter, which no stemming changes.
     """
-    docs = document_tokens(jobs, analyzer)
-    by_word = docs.selectExpr("id", "o1", "o2", "sort_array(tokens) AS a")
+    entry = "named_struct('x', t, 'p', {p}, 'w', {w})"
+    if initials:
+        listed = ", ".join(f"'{c}'" for c in initials)
+        entry = f"IF(left(t, 1) IN ({listed}), {entry}, NULL)"
+    if analyzer == "english":
+        entry = f"IF(t IN ({stop_list()}), NULL, {entry})"
+    docs = document_words(jobs, analyzer, ["id"])
+    by_word = docs.selectExpr("id", f"sort_array({in_fields(entry)}) AS a")
     # No filter on empty documents: it would be copied below, tokenizing twice.
     cuts = "filter(sequence(0, size(a)), i -> i < size(a) AND (i = 0 OR a[i].x != a[i - 1].x)) AS s"
-    starts = by_word.selectExpr("id", "o1", "o2", "a", cuts)
+    starts = by_word.selectExpr("id", "a", cuts)
     run = "named_struct('i', i, 'n', coalesce(get(s, n + 1), size(a)) - i)"
-    runs = starts.selectExpr("id", "o1", "o2", "a", f"explode(transform(s, (i, n) -> {run})) AS r")
+    runs = starts.selectExpr("id", "a", f"explode(transform(s, (i, n) -> {run})) AS r")
     return runs.selectExpr(
         "id",
         "a[r.i].x AS word",
-        "transform(slice(a, r.i + 1, r.n), t -> named_struct('f', t.f, 'p', t.p)) AS places",
-        "o1",
-        "o2",
+        "transform(slice(a, r.i + 1, r.n), t -> named_struct('p', t.p, 'w', t.w)) AS places",
     )
 
 
 def capped(places: str) -> str:
     """SQL for the stored ``(p, w)`` of one lexeme, from its places in text order.
 
-    Fields follow one another, positions stop at the limit (of those at the
-    limit the first is kept), and a lexeme has a greatest number of positions.
+    Positions stop at the limit (of those at the limit the first is kept), and
+    a lexeme has a greatest number of positions per field and in all. Most
+    lexemes are far from either, and pass as they are.
     """
     field = ", ".join(
-        f"slice(filter(found, t -> t.f = {f}), 1, {MAX_FIELD_POSITIONS})" for f in range(len(WEIGHTS))
+        f"slice(filter({places}, t -> t.w = {w}D), 1, {MAX_FIELD_POSITIONS})" for w in WEIGHTS.values()
     )
-    offset = "CASE t.f WHEN 0 THEN 0 WHEN 1 THEN o1 ELSE o2 END"
-    a, b, c = (f"{w}D" for w in WEIGHTS.values())
-    placed = f"""transform(concat({field}), t -> named_struct(
-        'p', least(least(t.p, {MAX_POS}) + {offset}, {MAX_POS}),
-        'w', CASE t.f WHEN 0 THEN {a} WHEN 1 THEN {b} ELSE {c} END))"""
+    placed = f"transform(concat({field}), t -> named_struct('p', least(t.p, {MAX_POS}), 'w', t.w))"
     cut = f"filter(every, (t, i) -> i = 0 OR t.p < {MAX_POS} OR every[i - 1].p < {MAX_POS})"
     # transform(array(v), x -> ...)[0] names a value that is used repeatedly.
-    once = f"transform(array({placed}), every -> slice({cut}, 1, {MAX_POSITIONS}))[0]"
-    return f"transform(array({places}), found -> {once})[0]"
+    limited = f"transform(array({placed}), every -> slice({cut}, 1, {MAX_POSITIONS}))[0]"
+    within = f"size({places}) <= {MAX_FIELD_POSITIONS} AND coalesce(get({places}, size({places}) - 1).p, 0) < {MAX_POS}"
+    return f"IF({within}, {places}, {limited})"
 
 
-def build_postings(jobs: DataFrame, analyzer: str = "simple") -> DataFrame:
+def build_postings(
+    jobs: DataFrame, analyzer: str = "simple", initials: list[str] | None = None
+) -> DataFrame:
     """``postings(lexeme, id, positions array<struct<p int, w double>>)``.
 
     With ``english``, words that share a stem in one document are put together
     by a group-by whose partial step already sees the whole document, as all its
     rows come from one task.
     """
-    found = word_positions(jobs, analyzer)
+    found = word_positions(jobs, analyzer, initials)
     if analyzer == "english":
         stemmed = with_stem(found, "word", "lexeme")
         found = stemmed.groupBy("id", "lexeme").agg(
-            F.sort_array(F.flatten(F.collect_list("places"))).alias("places"),
-            F.first("o1").alias("o1"),
-            F.first("o2").alias("o2"),
+            F.sort_array(F.flatten(F.collect_list("places"))).alias("places")
         )
     else:
         found = found.withColumnRenamed("word", "lexeme")

@@ -19,7 +19,8 @@ from postlake.functions import websearch
 from postlake.functions.settle import settle
 from postlake.operators.filters import active, holds
 from postlake.operators.listing import Page, list_page
-from postlake.operators.postings import build_postings, capped, document_tokens
+from postlake.functions.analyze import MAX_FIELD_POSITIONS, MAX_POS
+from postlake.operators.postings import build_postings, capped, document_words, in_fields
 
 SHOWN = ["id", "company_name", "title", "location", "first_seen_at"]
 _CARRIED = [*SHOWN, "last_seen_at"]
@@ -66,13 +67,18 @@ def scan_hits(jobs: DataFrame, tree, keep: list[str]) -> DataFrame:
     guard = _may_match(tree)
     if guard is not None:
         jobs = jobs.where(guard)
-    docs = document_tokens(jobs, "simple", keep)
-    near = settle(docs, "near", F.filter("tokens", lambda s: s["x"].isin(*terms)))
-    words = near.select(F.struct(*keep).alias("_row"), "near", "o1", "o2", F.array(*map(F.lit, terms)).alias("_t"))
-    of_term = capped("filter(near, s -> s.x = x)")
-    tagged = f"transform({of_term}, s -> named_struct('p', s.p, 't', t, 'w', s.w))"
-    hits = f"sort_array(flatten(transform(_t, (x, t) -> {tagged})))"
-    return settle(words, "hits", F.expr(hits)).select("_row.*", "hits")
+    docs = document_words(jobs, "simple", keep)
+    number = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(terms))
+    listed = ", ".join(f"'{t}'" for t in terms)
+    entry = f"IF(t IN ({listed}), named_struct('p', {{p}}, 't', CASE t {number} END, 'w', {{w}}), NULL)"
+    near = settle(docs, "near", F.expr(in_fields(entry))).select(*keep, "near")
+    # The limits of stored positions apply per term; few documents come near.
+    of_term = "transform(filter(near, s -> s.t = t), s -> named_struct('p', s.p, 'w', s.w))"
+    limited = f"transform(array({of_term}), found -> {capped('found')})[0]"
+    tagged = f"transform({limited}, s -> named_struct('p', s.p, 't', t, 'w', s.w))"
+    every = f"sort_array(flatten(transform(sequence(0, {len(terms) - 1}), t -> {tagged})))"
+    short = f"size(near) <= {MAX_FIELD_POSITIONS} AND coalesce(get(near, size(near) - 1).p, 0) < {MAX_POS}"
+    return settle(near, "hits", F.expr(f"IF({short}, near, {every})"))
 
 
 def posting_hits(postings: DataFrame, tree) -> DataFrame:
@@ -115,8 +121,10 @@ def matched(
     if postings is None and analyzer == "simple":
         found = ranking.with_places(scan_hits(kept, tree, _CARRIED), tree)
         return found.where(ranking.matches(tree))
-    source = postings if postings is not None else build_postings(kept, analyzer)
-    hits = ranking.with_places(posting_hits(source, tree), tree)
+    if postings is None:
+        initials = sorted({t[0] for t in websearch.terms(tree)})
+        postings = build_postings(kept, analyzer, initials)
+    hits = ranking.with_places(posting_hits(postings, tree), tree)
     if not websearch.matches_empty(tree):
         # Match before the join, so that only matching ids meet the postings table.
         return kept.select(*_CARRIED).join(hits.where(ranking.matches(tree)), "id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions.html import select_html
 from postlake.functions.scalars import extract_id, url_from_template
+from postlake.functions.settle import settle
 from postlake.sources.config import enabled
 
 FOUND = ["source_key", "company_name", "response_url", "pos", "external_id", "url"]
@@ -61,7 +62,7 @@ def parse_sitemaps(ready: DataFrame) -> DataFrame:
         "url array<struct<loc string>>, _corrupt_record string",
         {"ignoreSurroundingSpaces": "false"},
     )
-    parsed = ready.withColumn("doc", doc)
+    parsed = settle(ready, "doc", doc)
     bad = F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull()
     return parsed.withColumn("error", F.when(bad, "failed to parse sitemap")).withColumn(
         "locs", F.col("doc.url.loc")
@@ -100,10 +101,10 @@ def json_path(path: Column) -> Column:
 def parse_api(ready: DataFrame) -> DataFrame:
     """Adds ``jobs array<variant>`` and the reason when there is none."""
     has_path = F.coalesce(F.col("cfg_jobs_path") != "", F.lit(False))
-    parsed = ready.withColumn("v", F.try_parse_json("body")).withColumn(
+    parsed = settle(ready, "v", F.try_parse_json("body")).withColumn(
         "path", F.when(has_path, json_path(F.col("cfg_jobs_path"))).otherwise("$")
     )
-    parsed = parsed.withColumn("jobs", F.expr("try_variant_get(v, path, 'array<variant>')"))
+    parsed = settle(parsed, "jobs", F.expr("try_variant_get(v, path, 'array<variant>')"))
     at = F.expr("try_variant_get(v, path, 'variant')")
     error = (
         F.when(F.col("v").isNull(), "failed to parse API response")
@@ -141,8 +142,9 @@ def refs_from_api(ready: DataFrame) -> tuple[DataFrame, DataFrame]:
         "cfg_url_template",
         key.alias("key"),
         F.posexplode("jobs").alias("pos", "item"),
-    ).withColumn("id_value", F.expr("try_variant_get(item, key, 'variant')"))
-    items = items.withColumn("external_id", variant_id("id_value")).where("external_id IS NOT NULL")
+    )
+    items = settle(items, "id_value", F.expr("try_variant_get(item, key, 'variant')"))
+    items = settle(items, "external_id", variant_id("id_value")).where("external_id IS NOT NULL")
     refs = _refs(items, F.col("external_id"), url_from_template("cfg_url_template", "external_id"))
     return refs, parsed.where("error IS NOT NULL").select("source_key", F.col("url").alias("response_url"), "error")
 
