@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions.html import select_html
 from postlake.functions.scalars import non_empty, trim_ws, valid_details, valid_ref
 from postlake.operators.attempts import MAX_ATTEMPTS
-from postlake.operators.dedup import label_against, label_first
+from postlake.operators.dedup import drop_processed, label_against, label_first
 from postlake.sources.config import enabled
 
 # Up to this many patterns are tested in one expression; more are joined.
@@ -126,6 +126,9 @@ def _attempt(refs: DataFrame, pages: DataFrame, scrapers: DataFrame) -> DataFram
     return parsed.withColumn("error", late)
 
 
+# Times keep their microseconds.
+LOG_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 OUTCOME = [
     "seq",
     "external_id",
@@ -159,8 +162,6 @@ def process_refs(
     if first_try:
         labelled = label_first(refs) if processed is None else label_against(refs, processed)
     else:
-        from postlake.operators.dedup import drop_processed
-
         fresh = refs if processed is None else drop_processed(refs, processed)
         known = refs.join(fresh.select("seq", F.lit(True).alias("_new")), "seq", "left")
         labelled = known.select(*refs.columns, F.col("_new").isNull().alias("is_duplicate"))
@@ -208,4 +209,8 @@ def results_of(outcomes: DataFrame) -> DataFrame:
 
 def write_results_log(results: DataFrame, path: str) -> None:
     """Outcomes as JSON lines, one file per task, appended."""
-    results.write.mode("append").json(path)
+    results.write.mode("append").option("timestampNTZFormat", LOG_TIME).json(path)
+
+
+def read_results_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).option("timestampNTZFormat", LOG_TIME).json(path)

@@ -31,11 +31,11 @@ def _numbers(terms: list[str]) -> Column:
 
 
 def _may_match(tree) -> Column | None:
-    """A cheap necessary condition on the raw text, or None."""
+    """A cheap necessary condition on the lower-case text ``_text``, or None."""
     kind, body = tree
 
     def holds_word(w: str) -> Column:
-        return F.contains(F.lower(F.concat_ws(" ", "title", "location", "description")), F.lit(w))
+        return F.contains("_text", F.lit(w))
 
     if kind == "term":
         return holds_word(body)
@@ -66,7 +66,8 @@ def scan_hits(jobs: DataFrame, tree, keep: list[str]) -> DataFrame:
     terms = websearch.terms(tree)
     guard = _may_match(tree)
     if guard is not None:
-        jobs = jobs.where(guard)
+        text = F.lower(F.concat_ws(" ", "title", "location", "description"))
+        jobs = settle(jobs, "_text", text).where(guard).drop("_text")
     docs = document_words(jobs, "simple", keep)
     number = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(terms))
     listed = ", ".join(f"'{t}'" for t in terms)
@@ -133,6 +134,10 @@ def matched(
     return found.where(ranking.matches(tree))
 
 
+def _total(found: DataFrame) -> DataFrame:
+    return found.agg(F.count(F.lit(1)).alias("total"))
+
+
 def search_matches(
     jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | None = None
 ) -> DataFrame:
@@ -144,7 +149,12 @@ def search_matches(
 def search_total(
     jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | None = None
 ) -> DataFrame:
-    return search_matches(jobs, query, analyzer, postings).agg(F.count(F.lit(1)).alias("total"))
+    return _total(search_matches(jobs, query, analyzer, postings))
+
+
+def _ranked(found: DataFrame, tree) -> DataFrame:
+    scored = ranking.with_rank(found, tree, "rank")
+    return scored.select(*_CARRIED, F.col("rank").cast("float").alias("rank"))
 
 
 def search_ranked(
@@ -157,13 +167,13 @@ def search_ranked(
 ) -> DataFrame:
     """All matching active postings with their rank."""
     tree = websearch.parse(jobs.sparkSession, query, analyzer)
-    found = matched(jobs, tree, analyzer, postings, company, location)
-    scored = ranking.with_rank(found, tree, "rank")
-    return scored.select(*_CARRIED, F.col("rank").cast("float").alias("rank"))
+    return _ranked(matched(jobs, tree, analyzer, postings, company, location), tree)
 
 
-def _best_first() -> list[Column]:
-    return [F.desc("rank"), F.col("last_seen_at").desc_nulls_first(), F.asc("id")]
+def _page(ranked: DataFrame, limit: int, offset: int) -> DataFrame:
+    """Best first: a top-(offset + limit) per task, merged at the end."""
+    order = [F.desc("rank"), F.col("last_seen_at").desc_nulls_first(), F.asc("id")]
+    return ranked.orderBy(*order).offset(offset).limit(limit).select(*SHOWN, "rank")
 
 
 def search_simple(
@@ -177,9 +187,7 @@ def search_simple(
     location: str = "",
 ) -> DataFrame:
     """One page, best first, without the total."""
-    ranked = search_ranked(jobs, query, analyzer, postings, company, location)
-    rows = ranked.orderBy(*_best_first()).offset(page_offset).limit(page_limit)
-    return rows.select(*SHOWN, "rank")
+    return _page(search_ranked(jobs, query, analyzer, postings, company, location), page_limit, page_offset)
 
 
 def search_optimized(
@@ -194,9 +202,10 @@ def search_optimized(
 
     The total comes from a scalar subquery that matches and does not rank.
     """
-    page = search_simple(jobs, query, page_limit, page_offset, analyzer, postings)
-    total = search_total(jobs, query, analyzer, postings).scalar()
-    return page.select("*", total.alias("total_count"))
+    tree = websearch.parse(jobs.sparkSession, query, analyzer)
+    found = matched(jobs, tree, analyzer, postings)
+    total = _total(found.select("id")).scalar()
+    return _page(_ranked(found, tree), page_limit, page_offset).select("*", total.alias("total_count"))
 
 
 def search_page(

@@ -12,7 +12,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlake.functions.scalars import ntz, valid_details
+from postlake.functions.scalars import content_hash, ntz, valid_details
 
 WRITTEN = ["external_id", "company_name", "url", "title", "location", "description"]
 
@@ -163,8 +163,6 @@ def expire_missing(stored: DataFrame, crawled: DataFrame, now: dt.datetime | Col
 
 def changed_content(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Stored postings whose content hash differs from the incoming one."""
-    from postlake.functions.scalars import content_hash
-
     a = stored.select("external_id", content_hash().alias("old_hash"))
     b = incoming.select("external_id", content_hash().alias("new_hash"))
     return a.join(b, "external_id").where(F.col("old_hash") != F.col("new_hash"))

@@ -393,13 +393,13 @@ def process_refs(spark, d):
     return done.select("seq", "external_id", "company_name", "url", "status", "error", "title")
 
 
-@query("sink_results_log")
+@query("sink_results_log", with_(RESULTS) + "SELECT * FROM results")
 def sink_results_log(spark, d):
     """Outcomes written as JSON lines and read back."""
     path = scratch_path(spark, "results-log")
     results = views.results(spark, d)
     enrich.write_results_log(results, path)
-    return spark.read.schema(results.schema).json(path)
+    return enrich.read_results_log(spark, path, results.schema)
 
 
 # --- writes ------------------------------------------------------------------
