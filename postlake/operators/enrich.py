@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions.html import select_html
+from postlake.functions.settle import settle
 from postlake.functions.scalars import non_empty, trim_ws, valid_details, valid_ref
 from postlake.operators.attempts import MAX_ATTEMPTS
 from postlake.operators.dedup import drop_processed, label_against, label_first
@@ -80,7 +81,8 @@ def enrich_details(pages: DataFrame) -> DataFrame:
             "description": (F.col("selectors.description"), "html"),
         },
     )
-    parsed = pages.withColumn("_found", found)
+    # Settled, so that a filter on the texts does not parse the page once more.
+    parsed = settle(pages, "_found", found)
     names = ("title", "location", "description")
     return parsed.select(
         *[c for c in pages.columns if c not in names],

@@ -49,12 +49,12 @@ HTML_REFS = r"""anchors AS (
   SELECT url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) - 1 AS pos FROM (
     SELECT url, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS hrefs FROM pages)),
 html_refs AS (
-  SELECT 'html' AS source_key, 'html' AS company_name, url AS response_url, CAST(pos AS BIGINT) AS pos,
+  SELECT 'html' || length(url) % 2 AS source_key, 'html' || length(url) % 2 AS company_name, url AS response_url, CAST(pos AS BIGINT) AS pos,
     regexp_extract(replace(href, '&amp;', '&'), '/([A-Za-z]+)', 1) AS external_id, replace(href, '&amp;', '&') AS url
   FROM anchors)"""
 
 API_REFS = """api_refs AS (
-  SELECT 'api' AS source_key, 'api' AS company_name, 'u' || user_id || '/' || (event_id // 500) AS response_url,
+  SELECT 'api' || user_id % 2 AS source_key, 'api' || user_id % 2 AS company_name, 'u' || user_id || '/' || (event_id // 500) AS response_url,
     row_number() OVER (PARTITION BY user_id, event_id // 500 ORDER BY event_id) - 1 AS pos,
     CAST(event_id AS VARCHAR) AS external_id, 'https://a/jobs/' || event_id AS url FROM events)"""
 

@@ -144,8 +144,10 @@ SOURCE_ROWS = """
     ('src1', 'One', 'sitemap', 'https://s1', '([0-9]+)', NULL, '', '', '', true),
     ('src2', 'Two', 'sitemap', 'https://s2', 'no-group', NULL, '', '', '', true),
     ('src3', 'Three', 'sitemap', 'https://s3', '/en/([0-9]+)', NULL, '', '', '', false),
-    ('html', 'Html', 'html', 'https://h', '/([A-Za-z]+)', 'nav li a', '', '', '', true),
-    ('api', 'Api', 'api', 'https://a', NULL, NULL, 'data.jobs', 'id', 'https://a/jobs/{id}', true)
+    ('html0', 'Html 0', 'html', 'https://h0', '/([A-Za-z]+)', 'nav li a', '', '', '', true),
+    ('html1', 'Html 1', 'html', 'https://h1', '/([A-Za-z]+)', 'li > a', '', '', '', true),
+    ('api0', 'Api 0', 'api', 'https://a0', NULL, NULL, 'data.jobs', 'id', 'https://a/jobs/{id}', true),
+    ('api1', 'Api 1', 'api', 'https://a1', NULL, NULL, 'data.jobs', '', 'https://a/jobs/{id}', true)
 """
 
 
@@ -176,7 +178,10 @@ def sitemap_responses(spark: SparkSession, d: str) -> DataFrame:
 
 def html_responses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(
-        F.lit("html").alias("source_key"), "url", F.lit(200).alias("status_code"), F.col("html").alias("body")
+        F.concat(F.lit("html"), (F.length("url") % 2).cast("string")).alias("source_key"),
+        "url",
+        F.lit(200).alias("status_code"),
+        F.col("html").alias("body"),
     )
 
 
@@ -186,7 +191,7 @@ def api_responses(spark: SparkSession, d: str) -> DataFrame:
     bodies = rows.groupBy("user_id", "part").agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
     items = F.transform("ids", lambda i: F.concat(F.lit('{"id":'), i.cast("string"), F.lit("}")))
     return bodies.select(
-        F.lit("api").alias("source_key"),
+        F.concat(F.lit("api"), (F.col("user_id") % 2).cast("string")).alias("source_key"),
         F.concat(F.lit("u"), "user_id", F.lit("/"), "part").alias("url"),
         F.lit(200).alias("status_code"),
         F.concat(F.lit('{"data":{"jobs":['), F.array_join(items, ","), F.lit("]}}")).alias("body"),

@@ -83,7 +83,7 @@ def refs_from_html(ready: DataFrame) -> DataFrame:
     """All matches of the link selector that have an ``href``, kept verbatim."""
     pages = _of(ready, "html")
     found = select_html("body", {"hrefs": (F.col("cfg_link_selector"), "attr:href")})
-    items = pages.withColumn("found", found).select(
+    items = settle(pages, "found", found).select(
         "source_key",
         F.col("url").alias("response_url"),
         "cfg_id_pattern",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from postlake.schema import JOBS, REFS, RESPONSES
 
@@ -16,6 +17,13 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSES).parquet(path)
 
 
+def latest_per_url(responses: DataFrame, order: str = "fetched_at") -> DataFrame:
+    """The last response of every URL. The rank filter also runs in each task
+    before the shuffle, so a URL fetched very often leaves a task once."""
+    rank = F.row_number().over(Window.partitionBy("url").orderBy(F.col(order).desc_nulls_last()))
+    return responses.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+
+
 def read_refs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REFS).parquet(path)
 
