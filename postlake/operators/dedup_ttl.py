@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlake.functions.scalars import non_empty, ntz
@@ -13,6 +13,12 @@ from postlake.session import cut_lineage
 STATE = "external_id string, accepted_at timestamp_ntz"
 
 
+def _no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """An empty relation that the optimizer sees through."""
+    columns = ", ".join(f"CAST(NULL AS {t}) AS {c}" for c, t in (f.split() for f in schema.split(", ")))
+    return spark.sql(f"SELECT {columns} WHERE false")
+
+
 def accept_with_ttl(
     refs: DataFrame, state: DataFrame | None, ttl: dt.timedelta
 ) -> tuple[DataFrame, DataFrame]:
@@ -28,7 +34,7 @@ def accept_with_ttl(
     wrote and nothing older. A micro-batch spans one or two stretches.
     """
     spark = refs.sparkSession
-    first = state if state is not None else spark.createDataFrame([], STATE)
+    first = state if state is not None else _no_rows(spark, STATE)
     keyed = refs.where(non_empty("external_id")).select("external_id", "seq", "ts")
     low, high = keyed.agg(F.min("ts"), F.max("ts")).first()
     period = F.make_dt_interval(secs=F.lit(ttl.total_seconds()))
@@ -45,7 +51,7 @@ def accept_with_ttl(
         found = free.groupBy("external_id").agg(F.min(F.struct("ts", "seq")).alias("m"))
         taken.append(cut_lineage(found.select("external_id", "m.ts", "m.seq"), "ttl-accepted"))
         at = at + ttl
-    accepted = spark.createDataFrame([], "external_id string, ts timestamp_ntz, seq bigint")
+    accepted = _no_rows(spark, "external_id string, ts timestamp_ntz, seq bigint")
     for t in taken:
         accepted = accepted.unionByName(t)
     marks = accepted.select("external_id", "seq", F.lit(True).alias("_ok"))

@@ -2,9 +2,8 @@
 
 Building it moves each posting once. Positions are grouped per document inside
 the row (sort the tokens, cut the array where the lexeme changes), so tokens
-are never shuffled; the one shuffle is the write by lexeme bucket. A lexeme
-that occurs in a third of all postings is spread over ``salts`` tasks and files
-by the document id.
+are never shuffled; the one shuffle is the write by lexeme bucket, which splits
+a bucket made large by a lexeme that a third of all postings share.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from postlake.functions.analyze import (
 from postlake.functions.stem import with_stem
 
 BUCKETS = 256
-SALTS = 8
 
 
 def document_words(jobs: DataFrame, analyzer: str, keep: list[str]) -> DataFrame:
@@ -134,15 +132,16 @@ def lexeme_bucket(lexeme: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, salts: int = SALTS, mode: str = "append") -> None:
-    """Add postings to the index; new postings land in files of their own."""
-    salt = F.pmod(F.xxhash64("id"), F.lit(salts))
+def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+    """Add postings to the index; new postings land in files of their own.
+
+    The shuffle is by bucket, and rebalanced by measured size: a bucket that one
+    lexeme made large is split over as many tasks and files as it takes.
+    """
     (
         postings.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
-        .withColumn("_salt", salt)
-        .repartition("bucket", "_salt")
+        .hint("rebalance", F.col("bucket"))
         .sortWithinPartitions("bucket", "lexeme", "id")
-        .drop("_salt")
         .write.mode(mode)
         .partitionBy("bucket")
         .parquet(path)

@@ -140,7 +140,7 @@ def test_written_index(spark):
     built = postings.build_postings(jobs, "simple")
     half = built.where("id < 20"), built.where("id >= 20")
     for part in half:
-        postings.write_postings(part, path, buckets=4, salts=2)
+        postings.write_postings(part, path, buckets=4)
     assert postings.read_postings(spark, path, buckets=4).count() == built.count()
     index = postings.read_postings(spark, path, ["aa", "bb"], buckets=4)
     plan = index._jdf.queryExecution().toString()
