@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions.scalars import ntz
-from postlake.operators.filters import JobFilters, filter_jobs, holds, project_light
+from postlake.operators.filters import JobFilters, filter_jobs, project_light
 
 
 @dataclass(frozen=True)
@@ -93,10 +93,6 @@ def company_jobs(jobs: DataFrame, company: str, page: Page = Page(1, 20)) -> Dat
     return list_page(jobs, JobFilters(company=company), page)
 
 
-def jobs_like_company(jobs: DataFrame, company: str) -> DataFrame:
-    return jobs.where(holds("company_name", company))
-
-
 def recent_jobs(jobs: DataFrame, limit: int = 10) -> DataFrame:
     rows = filter_jobs(jobs).orderBy(*newest_first("first_seen_at")).limit(limit)
     return project_light(rows)

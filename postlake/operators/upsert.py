@@ -111,20 +111,21 @@ def upsert_keys(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def merge_upsert(incoming: DataFrame, table: str, now: dt.datetime) -> None:
-    """The same upsert as one MERGE, for catalog tables whose format has it."""
-    cond = F.expr(f"{table}.external_id = incoming.external_id")
-    source = incoming.alias("incoming")
-    stored = incoming.sparkSession.table(table)
-    values = {c.split(" AS ")[-1]: c for c in stored.columns}
-    new_row = dict(zip(values, _incoming_columns(stored, ntz(now))))
-    (
-        source.mergeInto(table, cond)
-        .whenMatched()
-        .update({"last_seen_at": ntz(now)})
-        .whenNotMatched()
-        .insert(new_row)
-        .merge()
-    )
+    """The same upsert as one MERGE, for catalog tables whose format has it.
+
+    Parquet tables do not; for those write the result of :func:`upsert`.
+    """
+    stamped = ("first_seen_at", "last_seen_at", "created_at", "updated_at")
+    new_row = {}
+    for field in incoming.sparkSession.table(table).schema.fields:
+        if field.name in WRITTEN:
+            new_row[field.name] = F.col(f"incoming.{field.name}")
+        elif field.name in stamped:
+            new_row[field.name] = ntz(now)
+    same = F.col(f"{table}.external_id") == F.col("incoming.external_id")
+    merge = incoming.alias("incoming").mergeInto(table, same)
+    merge = merge.whenMatched().update({"last_seen_at": ntz(now)})
+    merge.whenNotMatched().insert(new_row).merge()
 
 
 def clashing_keys(stored: DataFrame, batch: DataFrame) -> DataFrame:

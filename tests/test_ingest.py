@@ -276,3 +276,30 @@ def test_end_to_end(spark):
     table = ids.assign_ids(table.drop("id"), parts=3).select(*JOBS.fieldNames())
     assert errors.count() == 0
     assert sorted((r["id"] > 0, r["title"]) for r in table.collect()) == [(True, "Job 1"), (True, "Job 2")]
+
+
+def test_latest_per_url(spark):
+    rows = [("u", i, OLD + dt.timedelta(hours=i)) for i in range(50)] + [("v", 0, None)]
+    df = spark.createDataFrame(rows, "url string, n int, fetched_at timestamp_ntz")
+    assert sorted((r["url"], r["n"]) for r in landing.latest_per_url(df).collect()) == [("u", 49), ("v", 0)]
+
+
+def test_streamed_upserts_are_repeatable(spark):
+    sink = streams.Upserts(spark, scratch_path(spark, "snap"), _stored(spark), lambda n: NOW + dt.timedelta(days=n))
+    sink(_batch(spark, "e1", "x"), 0)
+    sink(_batch(spark, "x", "y"), 1)
+    want = sorted(map(str, sink.result().collect()))
+    sink(_batch(spark, "x", "y"), 1)
+    assert sorted(map(str, sink.result().collect())) == want
+    seen = {r["external_id"]: r["last_seen_at"] for r in sink.result().collect()}
+    assert seen == {"e1": NOW, "e2": OLD, "e3": OLD, "x": NOW + dt.timedelta(days=1), "y": NOW + dt.timedelta(days=1)}
+
+
+def test_many_patterns_are_joined(spark):
+    """Inline tests and the join on pieces choose the same scraper."""
+    refs = spark.createDataFrame([(i, f"https://h{i}.x/{i % 7}") for i in range(200)] + [(999, "z")], "seq int, url string")
+    rows = [(f"k{i:03}", f"K{i}", [f"h{i}.", f"/{i % 9}"], i % 4 != 0) for i in range(40)]
+    scrapers = spark.createDataFrame(rows, "scraper_key string, name string, url_patterns array<string>, enabled boolean")
+    joined = {r["seq"]: r["scraper_key"] for r in enrich.match_scraper(refs, scrapers).collect()}
+    inline = {r["seq"]: r["scraper_key"] for r in enrich.match_scraper(refs, scrapers, inline=1000).collect()}
+    assert joined == inline and joined[999] is None and len(set(joined.values())) > 5
