@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postlake.llm import language_id
 from postlake.llm.common import read
+from postlake.llm.decontaminate import contamination, contamination_digest
 from postlake.llm.line_dedup import drop_repeated_lines
 from postlake.llm.minhash import near_duplicates
+from postlake.llm.packing import pack_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +23,15 @@ BLANK_SQL = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+WORDS_SQL = f"list_filter(regexp_split_to_array({LOWER_SQL}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -30,6 +42,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_packing")
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only the tokens bind here; the other two capacities are as large as they can get."""
+    return pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query(
     "op2_line_dedup",
     f"""
@@ -81,3 +99,38 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op8_decontamination",
+    f"""
+    WITH dw AS (SELECT doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+    iw AS (SELECT item_id, {WORDS_SQL.format("text")} AS w FROM benchmark WHERE text IS NOT NULL),
+    win AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS key
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM iw WHERE len(w) > 0)),
+    place AS (
+        SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS key
+        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+              FROM dw, (SELECT DISTINCT size FROM win) WHERE len(w) >= size)),
+    found AS (SELECT p.doc_id, p.i, p.size, w.item_id FROM place p JOIN win w ON p.key = w.key),
+    hit AS (SELECT doc_id, count(DISTINCT at_word) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + size)) AS at_word FROM found) GROUP BY doc_id),
+    listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+               FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(l.n_items, 0) AS n_items,
+           sha256(coalesce(l.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+    FROM dw d LEFT JOIN hit h USING (doc_id) LEFT JOIN listed l USING (doc_id)
+    """,
+)
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return contamination_digest(contamination(docs, read(spark, sf_dir, "benchmark")))
