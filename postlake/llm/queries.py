@@ -11,8 +11,10 @@ from postlake.llm import language_id
 from postlake.llm.common import read
 from postlake.llm.decontaminate import contamination, contamination_digest
 from postlake.llm.line_dedup import drop_repeated_lines
+from postlake.llm.maxscore import quantized, top_k
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.packing import pack_documents
+from postlake.llm.warc import deduplicated_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +103,48 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
+@query(
+    "op4_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    d AS (SELECT *, strlen(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+    b AS (
+        SELECT *, max(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id,
+               list_transform(range(0, 8), lambda i: ('0x' || hex[5 * i + 1:5 * i + 5])::BIGINT) AS parts FROM d)
+    SELECT page_id, payload_bytes,
+           array_to_string(list_transform(range(0, 32), lambda i:
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((parts[i // 4 + 1] >> (5 * (3 - i % 4))) & 31)::INT + 1]), '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM b
+    """,
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = deduplicated_archives(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+@query(
+    "op5_maxscore",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), quantized(F.col("embedding")).alias("v"))
+    return top_k(rows, rows.where("id % 100 = 0"), 10)
+
+
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
