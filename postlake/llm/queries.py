@@ -14,6 +14,7 @@ from postlake.llm.line_dedup import drop_repeated_lines
 from postlake.llm.maxscore import quantized, top_k
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.packing import pack_documents
+from postlake.llm.url_filter import judge_urls
 from postlake.llm.warc import deduplicated_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,6 +154,22 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+#: Fixed values of the query.
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+@query("op7_url_filter")
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "block_share")
+
+
 @query(
     "op8_decontamination",
     f"""
