@@ -14,6 +14,7 @@ from postlake.llm.line_dedup import drop_repeated_lines
 from postlake.llm.maxscore import quantized, top_k
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.packing import pack_documents
+from postlake.llm.pii import find_personal_data, span_digest
 from postlake.llm.url_filter import judge_urls
 from postlake.llm.warc import deduplicated_archives
 
@@ -74,6 +75,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 @query(
     "op10_minhash",
     f"""
