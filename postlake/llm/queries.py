@@ -15,6 +15,7 @@ from postlake.llm.maxscore import quantized, top_k
 from postlake.llm.minhash import near_duplicates
 from postlake.llm.packing import pack_documents
 from postlake.llm.pii import find_personal_data, span_digest
+from postlake.llm.substrings import remove_repeats
 from postlake.llm.url_filter import judge_urls
 from postlake.llm.warc import deduplicated_archives
 
@@ -110,6 +111,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
 
 
+@query(
+    "op3_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS key
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+    late AS (SELECT doc_id, i FROM (
+        SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at_word FROM late),
+    each_word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at_word FROM d),
+    kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.at_word) AS kept, count(*) AS n
+             FROM each_word e LEFT JOIN gone g USING (doc_id, at_word) WHERE g.doc_id IS NULL GROUP BY e.doc_id)
+    SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+    FROM d LEFT JOIN kept k USING (doc_id)
+    """,
+)
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op4_warc",
     """
