@@ -279,13 +279,14 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     scanned = known.mapInArrow(_scan(window), T.StructType([field("anchor", T.LongType()), *key, *run]))
     counts = scanned.groupBy("anchor").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     counts = cut_lineage(counts.select("anchor", (F.col("often") > HOT).alias("hot")), "anchors")
-    placed = scanned.join(counts, "anchor").join(copies, ["id", "mark"], "left_anti")
+    # What grows with the corpus is merged at every size, never sent whole to all tasks.
+    placed = scanned.join(counts.hint("merge"), "anchor").join(copies.hint("merge"), ["id", "mark"], "left_anti")
     runs = placed.distinct().groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n", "anchor", "hot")).alias("runs"))
     runs = cut_lineage(runs, "anchored")
 
     packed_type = T.StructType([*key, field("packed", T.BinaryType())])
     packed = known.mapInArrow(_squeeze, packed_type)
-    bodies = packed.join(runs, ["id", "mark"]).dropDuplicates(["id", "mark"])
+    bodies = packed.join(runs.hint("merge"), ["id", "mark"]).dropDuplicates(["id", "mark"])
     pieces = T.StructType([field("anchor", T.LongType()), *key, *run, field("words", T.BinaryType())])
 
     def segments(hot: bool) -> DataFrame:
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     gone = gone.unionAll(late).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     gone = gone.join(copies.withColumn("copy", F.lit(True)), ["id", "mark"], "full")
     gone = cut_lineage(gone.select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "gone", "copy"), "repeats")
-    both = frame.mapInArrow(_squeeze, packed_type).join(gone, (F.col("id") == F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
+    both = frame.mapInArrow(_squeeze, packed_type).join(gone.hint("merge"), (F.col("id") == F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
     both = both.select("id", "mark", "packed", "gone", F.coalesce("copy", F.lit(False)).alias("copy"))
     out = [field("id", kind), field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept", T.StringType())]
     return both.mapInArrow(_without(window), T.StructType(out)).withColumnRenamed("id", id_col)

@@ -174,7 +174,7 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: i
         F.col("first.record_id").alias("to_record"),
     )
     judged = cut_lineage(judged, "resolved")
-    full = read_archives(spark, source, with_payload=True).join(judged, (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
+    full = read_archives(spark, source, with_payload=True).join(judged.hint("merge"), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
     fresh = full.select(
         F.col("kind").alias("record_type"),
         F.when(F.col("kind") == "revisit", _uuid(F.col("record_id"), F.col("file"), F.col("at"), F.lit(date)))
