@@ -41,8 +41,8 @@ def url_from_template(template: Column | str, external_id: Column | str) -> Colu
 
 
 def num_to_id(c: Column | str) -> Column:
-    """A number as an id: fraction cut off toward zero."""
-    return _col(c).cast("bigint").cast("string")
+    """A number as an id: fraction cut off toward zero; null beyond 64 bits."""
+    return _col(c).try_cast("bigint").cast("string")
 
 
 def url_matches(url: Column | str, patterns: Column | str) -> Column:

@@ -56,7 +56,8 @@ def accept_with_ttl(
         accepted = accepted.unionByName(t)
     marks = accepted.select("external_id", "seq", F.lit(True).alias("_ok"))
     joined = refs.join(marks, ["external_id", "seq"], "left")
-    flag = non_empty("external_id") & F.col("_ok").isNull()
+    # A row without a time can't be placed; it passes, and bars nothing.
+    flag = non_empty("external_id") & F.col("ts").isNotNull() & F.col("_ok").isNull()
     labelled = joined.select(*[joined[c] for c in refs.columns], flag.alias("is_duplicate"))
     every = first.unionByName(accepted.select("external_id", F.col("ts").alias("accepted_at")))
     return labelled, every.groupBy("external_id").agg(F.max("accepted_at").alias("accepted_at"))

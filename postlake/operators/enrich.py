@@ -11,54 +11,24 @@ from postlake.functions.scalars import non_empty, trim_ws, valid_details, valid_
 from postlake.operators.attempts import MAX_ATTEMPTS
 from postlake.operators.dedup import drop_processed, label_against, label_first
 from postlake.sources.config import enabled
+from postlake.sources.landing import latest_per_url
 
-# Up to this many patterns are tested in one expression; more are joined.
-INLINE_PATTERNS = 64
 
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _match_inline(refs: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
-    tests = " ".join(
-        f"WHEN contains(url, {_quoted(p)}) THEN {_quoted(key)}" for key, p in sorted(patterns)
-    )
-    key = F.expr(f"CASE {tests} END") if tests else F.lit(None).cast("string")
-    return refs.withColumn("scraper_key", key)
-
-
-def _match_joined(refs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """The same by an equi-join, for any number of patterns.
-
-    Every pattern is found by its first ``m`` characters, ``m`` being the length
-    of the shortest one; distinct URLs are cut into pieces of that length.
-    """
-    m = patterns.agg(F.min(F.length("pattern"))).first()[0] or 1
-    urls = refs.where(F.length("url") >= m).select("url").distinct()
-    pieces = urls.select(
-        "url",
-        F.explode(
-            F.array_distinct(F.expr(f"transform(sequence(1, length(url) - {m - 1}), i -> substring(url, i, {m}))"))
-        ).alias("piece"),
-    )
-    keyed = patterns.withColumn("piece", F.substring("pattern", 1, m))
-    hits = pieces.join(keyed, "piece").where(F.contains("url", "pattern"))
-    best = hits.groupBy("url").agg(F.min("scraper_key").alias("scraper_key"))
-    return refs.join(best, "url", "left").select(*refs.columns, "scraper_key")
-
-
-def match_scraper(refs: DataFrame, scrapers: DataFrame, inline: int = INLINE_PATTERNS) -> DataFrame:
+def match_scraper(refs: DataFrame, scrapers: DataFrame) -> DataFrame:
     """Adds ``scraper_key``: of the scrapers with a pattern in the URL, the lowest key.
 
-    The driver reads the patterns only up to ``inline`` of them; one more and
-    the join is used.
+    An equi-join on whole patterns: distinct URLs are cut into pieces of each length
+    that a pattern has, so a piece meets only the patterns that it is equal to. The
+    empty pattern is in every URL. A null URL has no scraper.
     """
     patterns = scrapers.where(enabled()).select("scraper_key", F.explode("url_patterns").alias("pattern"))
-    head = patterns.limit(inline + 1).collect()
-    if len(head) <= inline:
-        return _match_inline(refs, [tuple(r) for r in head])
-    return _match_joined(refs, patterns)
+    patterns = patterns.where("pattern IS NOT NULL").groupBy("pattern").agg(F.min("scraper_key").alias("scraper_key"))
+    lengths = patterns.agg(F.sort_array(F.collect_set(F.length("pattern"))).alias("sizes"))
+    pieces = "flatten(transform(sizes, n -> if(length(url) >= n, transform(sequence(1, length(url) - n + 1), i -> substring(url, i, n)), array())))"
+    urls = refs.where("url IS NOT NULL").select("url").distinct()
+    cut = urls.withColumn("sizes", lengths.scalar()).select("url", F.explode(F.expr(f"array_distinct({pieces})")).alias("pattern"))
+    best = cut.join(patterns, "pattern").groupBy("url").agg(F.min("scraper_key").alias("scraper_key"))
+    return refs.join(best, "url", "left").select(*refs.columns, "scraper_key")
 
 
 def with_scraper(refs: DataFrame, scrapers: DataFrame) -> DataFrame:
@@ -97,6 +67,9 @@ def _attempt(refs: DataFrame, pages: DataFrame, scrapers: DataFrame) -> DataFram
     )
     matched = with_scraper(checked, scrapers)
     none = F.concat(F.lit("no scraper configuration found for URL: "), F.coalesce("url", F.lit("")))
+    if "fetched_at" in pages.columns:
+        # A page that landed again must not give a second outcome.
+        pages = latest_per_url(pages)
     fetched = matched.join(pages.select("url", "status_code", "html"), "url", "left")
     status = F.concat(F.lit("received non-OK status code: "), F.col("status_code").cast("string"))
     scrape = F.coalesce(

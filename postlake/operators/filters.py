@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,12 @@ def active() -> Column:
 
 
 def holds(column: str, text: str) -> Column:
-    """Case-blind substring; ``%`` and ``_`` in the text stay wildcards."""
-    return F.col(column).ilike(f"%{text}%")
+    """Case-blind substring; ``%`` and ``_`` in the text stay wildcards.
+
+    A backslash that escapes neither of them nor itself is a plain character.
+    """
+    plain = re.sub(r"\\([%_\\])|\\", lambda m: m[0] if m[1] else r"\\", text)
+    return F.col(column).ilike(f"%{plain}%")
 
 
 def seen_from(day: str) -> Column | None:

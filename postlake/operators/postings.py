@@ -8,6 +8,7 @@ a bucket made large by a lexeme that a third of all postings share.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,12 +133,31 @@ def lexeme_bucket(lexeme: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
+class IndexMismatch(ValueError):
+    """An index is used with other settings than it was written with."""
+
+
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    """The bucket count kept beside the postings; null where there is no index yet."""
+    try:
+        row = spark.read.schema("buckets int").json(f"{path}/_settings").first()
+    except AnalysisException:
+        return None
+    return row and row[0]
+
+
 def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
     """Add postings to the index; new postings land in files of their own.
 
+    The bucket count is kept with the index, and adding with another one is refused.
+
     The shuffle is by bucket, and rebalanced by measured size: a bucket that one
     lexeme made large is split over as many tasks and files as it takes.
     """
+    spark = postings.sparkSession
+    held = _stored_buckets(spark, path) if mode == "append" else None
+    if held not in (None, buckets):
+        raise IndexMismatch(f"the index has {held} buckets, not {buckets}")
     (
         postings.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
         .hint("rebalance", F.col("bucket"))
@@ -146,10 +166,12 @@ def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode:
         .partitionBy("bucket")
         .parquet(path)
     )
+    if held is None:
+        spark.sql(f"SELECT {int(buckets)} AS buckets").write.mode("overwrite").json(f"{path}/_settings")
 
 
-def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
-    """The index, or only the postings of some lexemes.
+def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """The index, or only the postings of some lexemes. The bucket count is that of the index.
 
     The bucket numbers are folded to literals, so the scan prunes to those
     folders, and within their files to the row groups that hold the lexemes.
@@ -158,7 +180,12 @@ def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = No
     table = spark.read.schema(schema).parquet(path)
     if lexemes is None:
         return table
-    wanted = [lexeme_bucket(F.lit(x), buckets) for x in lexemes]
+    held = _stored_buckets(spark, path)
+    if held is None:
+        raise IndexMismatch(f"no settings are kept with the index at {path}")
+    if buckets not in (None, held):
+        raise IndexMismatch(f"the index has {held} buckets, not {buckets}")
+    wanted = [lexeme_bucket(F.lit(x), held) for x in lexemes]
     return table.where(F.col("bucket").isin(*wanted) & F.col("lexeme").isin(*lexemes))
 
 

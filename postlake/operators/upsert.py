@@ -52,13 +52,13 @@ def accepted(batch: DataFrame) -> DataFrame:
     return batch.where(bad == 0)
 
 
-def first_per_key(batch: DataFrame, order: str = "seq") -> DataFrame:
-    """One row per ``external_id``, the lowest ``order``.
+def first_per_key(batch: DataFrame, *order: str) -> DataFrame:
+    """One row per ``external_id``, the lowest by ``order`` (``seq`` if none is given).
 
     The rank filter is applied per task before the shuffle as well, so a hot key
     leaves each task as one row.
     """
-    rank = F.row_number().over(Window.partitionBy("external_id").orderBy(F.col(order).asc()))
+    rank = F.row_number().over(Window.partitionBy("external_id").orderBy(*(order or ("seq",))))
     return batch.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
@@ -76,7 +76,8 @@ def _incoming_columns(stored: DataFrame, now: Column) -> list[Column]:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, now: dt.datetime | Column) -> DataFrame:
-    """The next snapshot. ``incoming`` holds one row per ``external_id``.
+    """The next snapshot. Of incoming rows that repeat an ``external_id`` the first counts,
+    by ``seq`` if there is one, else by url and title.
 
     Written as a left join of the stored rows with the incoming keys, plus an
     anti join for the new rows. Unlike a full outer join, both can broadcast
@@ -85,6 +86,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: dt.datetime | Column) ->
     New rows have a null ``id`` until :func:`postlake.operators.ids.assign_ids`.
     """
     now = ntz(now) if isinstance(now, dt.datetime) else now
+    incoming = first_per_key(incoming, *(["seq"] if "seq" in incoming.columns else ["url", "title"]))
     keys = incoming.select("external_id", F.lit(True).alias("_seen"))
     touched = stored.join(keys, "external_id", "left")
     kept = touched.select(

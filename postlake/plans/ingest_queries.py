@@ -264,8 +264,8 @@ def join_scraper_by_url(spark, d):
 
 @query("join_scraper_by_url_many", with_(REFS, SCRAPERS, MATCH) + "SELECT * FROM matched")
 def join_scraper_by_url_many(spark, d):
-    """The way taken for more patterns than fit in one expression."""
-    return enrich.match_scraper(views.refs(spark, d), views.scrapers(spark), inline=0).select("seq", "scraper_key")
+    """The join alone, without the names."""
+    return enrich.match_scraper(views.refs(spark, d), views.scrapers(spark)).select("seq", "scraper_key")
 
 
 @query("company_naming", with_(REFS, SCRAPERS, MATCH) + """SELECT r.seq, r.company_name AS ref_name, s.name AS details_name

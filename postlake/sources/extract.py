@@ -93,9 +93,19 @@ def refs_from_html(ready: DataFrame) -> DataFrame:
 
 
 def json_path(path: Column) -> Column:
-    """``a.b`` as a variant path that takes any character in a key."""
-    quoted = F.regexp_replace(path, r'"', r'\\"')
-    return F.concat(F.lit('$["'), F.regexp_replace(quoted, r"\.", '"]["'), F.lit('"]'))
+    """``a.b`` as a variant path that takes any character in a key (see :func:`_key`)."""
+    return F.concat(F.lit("$"), F.aggregate(F.split(path, r"\."), F.lit(""), lambda done, k: F.concat(done, _key(k))))
+
+
+def _key(name: Column) -> Column:
+    """One step of a variant path, in the quotes that the key does not hold.
+
+    A path has no way to write a key with both kinds of quotes; null then, and nothing is found.
+    """
+    single, double = F.contains(name, F.lit("'")), F.contains(name, F.lit('"'))
+    return F.when(~double, F.concat(F.lit('["'), name, F.lit('"]'))).when(
+        ~single, F.concat(F.lit("['"), name, F.lit("']"))
+    )
 
 
 def parse_api(ready: DataFrame) -> DataFrame:
@@ -120,13 +130,18 @@ def parse_api(ready: DataFrame) -> DataFrame:
 
 
 def variant_id(v: str) -> Column:
-    """A string as it is, a number cut to an integer; null for anything else."""
+    """A string as it is, a number cut to an integer; null for anything else.
+
+    Whole numbers stay exact up to 38 digits; one with a fraction or an exponent is null beyond 64 bits.
+    """
     kind = f"schema_of_variant({v})"
     return F.expr(
         f"""CASE WHEN {kind} = 'STRING' THEN try_variant_get({v}, '$', 'string')
                  WHEN {kind} = 'BIGINT' THEN CAST(try_variant_get({v}, '$', 'bigint') AS string)
+                 WHEN {kind} RLIKE '^DECIMAL.[0-9]+,0.$'
+                 THEN CAST(try_variant_get({v}, '$', 'decimal(38,0)') AS string)
                  WHEN {kind} RLIKE '^(DECIMAL|DOUBLE|FLOAT)'
-                 THEN CAST(CAST(try_variant_get({v}, '$', 'double') AS bigint) AS string) END"""
+                 THEN CAST(try_cast(try_variant_get({v}, '$', 'double') AS bigint) AS string) END"""
     )
 
 
@@ -135,7 +150,7 @@ def refs_from_api(ready: DataFrame) -> tuple[DataFrame, DataFrame]:
     field = F.when(F.coalesce(F.col("cfg_id_field"), F.lit("")) == "", "id").otherwise(F.col("cfg_id_field"))
     good = parsed.where("error IS NULL")
     # A field name is one key, dots included.
-    key = F.concat(F.lit('$["'), F.regexp_replace(field, r'"', r'\\"'), F.lit('"]'))
+    key = F.concat(F.lit("$"), _key(field))
     items = good.select(
         "source_key",
         F.col("url").alias("response_url"),

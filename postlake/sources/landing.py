@@ -20,7 +20,9 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
 def latest_per_url(responses: DataFrame, order: str = "fetched_at") -> DataFrame:
     """The last response of every URL. The rank filter also runs in each task
     before the shuffle, so a URL fetched very often leaves a task once."""
-    rank = F.row_number().over(Window.partitionBy("url").orderBy(F.col(order).desc_nulls_last()))
+    # Ties are settled by the row's content, so a task that runs again takes the same one.
+    content = F.xxhash64(*[F.col(c).cast("string") for c in responses.columns if c != "url"])
+    rank = F.row_number().over(Window.partitionBy("url").orderBy(F.col(order).desc_nulls_last(), content))
     return responses.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 

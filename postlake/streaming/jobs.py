@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,16 +39,20 @@ def start(
     return writer.format("parquet").option("path", out).start()
 
 
+def _dedup_key() -> Column:
+    """The id; an arrival without one is its own key and so passes."""
+    return F.when(non_empty("external_id"), F.col("external_id")).otherwise(
+        F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
+    )
+
+
 def stream_dedup(refs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The first row of every non-empty id, for ever; rows with no id pass.
 
     Two stages: the first drops repeats per (id, salt), so a hot id is spread
     over ``salts`` tasks; the second then sees it ``salts`` times at most.
     """
-    key = F.when(non_empty("external_id"), F.col("external_id")).otherwise(
-        F.concat(F.lit("\u0000"), F.col("seq").cast("string"))
-    )
-    keyed = refs.withColumn("_key", key)
+    keyed = refs.withColumn("_key", _dedup_key())
     if salts > 1:
         salt = F.pmod(F.xxhash64("seq"), F.lit(salts))
         keyed = keyed.withColumn("_salt", salt).dropDuplicates(["_key", "_salt"]).drop("_salt")
@@ -57,8 +61,10 @@ def stream_dedup(refs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 def stream_dedup_within(refs: DataFrame, ts: str = "ts", ttl: str = "24 hours") -> DataFrame:
     """Dedup with state that is dropped: repeats within ``ttl`` are surely
-    removed, later ones may be. For an exact period use :class:`TtlLabels`."""
-    return refs.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(["external_id"])
+    removed, later ones may be; rows with no id pass. For an exact period use
+    :class:`TtlLabels`."""
+    keyed = refs.withColumn("_key", _dedup_key()).withWatermark(ts, ttl)
+    return keyed.dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def stream_status_counts(results: DataFrame) -> DataFrame:
@@ -138,7 +144,15 @@ class Upserts:
         after.write.mode("overwrite").parquet(self.path(number))
         self.last = number
 
+    def _newest(self) -> int:
+        """The last snapshot that is complete on disk, also of an earlier run; -1 if there is none."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        done = hadoop.Path(f"{self.root}/snapshot-*/_SUCCESS")
+        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done) or []
+        return max((int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found), default=-1)
+
     def result(self) -> DataFrame:
-        if self.last < 0:
+        last = max(self.last, self._newest())
+        if last < 0:
             return self.first
-        return self.spark.read.schema(self.first.schema).parquet(self.path(self.last))
+        return self.spark.read.schema(self.first.schema).parquet(self.path(last))

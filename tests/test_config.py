@@ -10,53 +10,53 @@ def _source(**given):
     return tuple(given.get(f) for f in SOURCES.fieldNames())
 
 
-BASE = {"source_key": "k", "name": "n", "fetch_type": "sitemap", "url": "https://x", "id_pattern": r"/job/(\d+)"}
-CASES = [
-    ({}, None),
-    ({"fetch_type": "html", "link_selector": ".job-link"}, None),
-    ({"fetch_type": "api", "method": "POST", "jobs_path": "data.jobs", "id_field": "id"}, None),
-    ({"fetch_type": "api", "method": "GET"}, None),
-    ({"name": ""}, "company name is required"),
-    ({"url": None}, "company URL is required"),
-    ({"fetch_type": "invalid"}, "invalid fetch type: invalid"),
-    ({"fetch_type": "html"}, "link_selector is required for HTML fetch type"),
-    ({"fetch_type": "api"}, "method is required for API fetch type"),
+# A complete source of each kind, and for each rule what must be missing for it to speak.
+WHOLE = {
+    "sitemap": {"name": "Brunnen AG", "url": "https://brunnen.test/map.xml", "fetch_type": "sitemap"},
+    "html": {"name": "Quince", "url": "https://quince.test", "fetch_type": "html", "link_selector": "li > a"},
+    "api": {"name": "Ostrich", "url": "https://ostrich.test/v3", "fetch_type": "api", "method": "PUT"},
+}
+BROKEN = [
+    ("html", {"name": None}, "company name is required"),
+    ("api", {"url": ""}, "company URL is required"),
+    ("sitemap", {"fetch_type": "gopher"}, "invalid fetch type: gopher"),
+    ("sitemap", {"fetch_type": None}, "invalid fetch type: "),
+    ("html", {"link_selector": None}, "link_selector is required for HTML fetch type"),
+    ("api", {"method": ""}, "method is required for API fetch type"),
+    # Two rules broken: the earlier one speaks.
+    ("api", {"url": None, "method": None}, "company URL is required"),
+    ("html", {"name": "", "fetch_type": "ftp"}, "company name is required"),
 ]
 
 
-def test_source_rules(spark):
-    rows = [_source(**{**BASE, "source_key": str(i), **c}) for i, (c, _) in enumerate(CASES)]
-    df = spark.createDataFrame(rows, SOURCES).select("source_key", config.source_error().alias("e"))
-    got = {int(r[0]): r[1] for r in df.collect()}
-    assert got == {i: e for i, (_, e) in enumerate(CASES)}
+def test_first_broken_rule_of_a_source(spark):
+    given = [(kind, {}, None) for kind in WHOLE] + BROKEN
+    rows = [_source(**{**WHOLE[kind], **change, "source_key": str(i)}) for i, (kind, change, _) in enumerate(given)]
+    found = spark.createDataFrame(rows, SOURCES).select("source_key", config.source_error().alias("e")).collect()
+    assert {int(r[0]): r[1] for r in found} == {i: e for i, (_, _, e) in enumerate(given)}
 
 
-def test_scraper_rules(spark):
-    good = {"title": "h1", "location": ".l", "description": ".d"}
-    rows = [
-        ("a", "n", ["x.com"], tuple(good.values()), True),
-        ("b", "", ["x.com"], tuple(good.values()), True),
-        ("c", "n", [], tuple(good.values()), True),
-        ("d", "n", ["x.com"], (None, ".l", ".d"), True),
-    ]
-    df = spark.createDataFrame(rows, SCRAPERS).select("scraper_key", config.scraper_error().alias("e"))
-    assert dict(df.collect()) == {
-        "a": None,
-        "b": "scraper name is required",
-        "c": "at least one URL pattern is required",
-        "d": "title selector is required",
-    }
+@pytest.mark.parametrize(
+    ("name", "patterns", "selectors", "want"),
+    [
+        ("Heron", ["/vacancy/"], ("h2", "em", "article"), None),
+        (None, ["/vacancy/"], ("h2", "em", "article"), "scraper name is required"),
+        ("Heron", None, ("h2", "em", "article"), "at least one URL pattern is required"),
+        ("Heron", ["/vacancy/"], ("h2", "", "article"), "location selector is required"),
+        ("Heron", ["/vacancy/"], ("h2", "em", None), "description selector is required"),
+        ("Heron", [], ("", "em", None), "at least one URL pattern is required"),
+    ],
+)
+def test_first_broken_rule_of_a_scraper(spark, name, patterns, selectors, want):
+    df = spark.createDataFrame([("key", name, patterns, selectors, True)], SCRAPERS)
+    assert df.select(config.scraper_error()).first()[0] == want
 
 
-def test_url_matching(spark):
-    rows = [
-        ("https://jobs.example.com/job/123", True),
-        ("https://careers.test.org/position/456", True),
-        ("https://jobs.other.com/job/789", False),
-    ]
-    patterns = F.array(F.lit("example.com"), F.lit("test.org"))
-    df = spark.createDataFrame(rows, "url string, want boolean").select("want", url_matches("url", patterns))
-    assert all(a == b for a, b in df.collect())
+def test_patterns_are_plain_substrings(spark):
+    urls = ["ftp://heron.test/vacancy/9", "https://x/?q=.test", "https://xytest/", "", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    patterns = F.array(F.lit("/vacancy/"), F.lit(".test"))
+    assert [r[0] for r in df.select(url_matches("url", patterns)).collect()] == [True, True, False, False, False]
 
 
 YAML = """

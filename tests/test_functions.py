@@ -123,3 +123,8 @@ def test_request_log(spark):
         {"Accept": "a", "X-Real-IP": "9.9.9.9"}, "9.9.9.9", "1.1.1.1", "r",
         "[Request body too large: 2050 bytes]", "", "y" * 1024, "", "warn",
     ]
+
+
+def test_numbers_beyond_an_id(spark):
+    df = spark.createDataFrame([(1e30,), (12.9,), (-3.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(scalars.num_to_id("x")).collect()] == [None, "12", "-3", None]

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import attempts, dedup, dedup_ttl, enrich, ids, upsert
+from postlake.operators.postings import IndexMismatch, read_postings, write_postings
 from postlake.plans import views
 from postlake.schema import JOBS
 from postlake.session import scratch_path
@@ -295,11 +296,51 @@ def test_streamed_upserts_are_repeatable(spark):
     assert seen == {"e1": NOW, "e2": OLD, "e3": OLD, "x": NOW + dt.timedelta(days=1), "y": NOW + dt.timedelta(days=1)}
 
 
-def test_many_patterns_are_joined(spark):
-    """Inline tests and the join on pieces choose the same scraper."""
+def test_patterns_of_any_length_and_number(spark):
+    """The lowest key whose pattern is in the URL, for many patterns and for empty ones."""
     refs = spark.createDataFrame([(i, f"https://h{i}.x/{i % 7}") for i in range(200)] + [(999, "z")], "seq int, url string")
     rows = [(f"k{i:03}", f"K{i}", [f"h{i}.", f"/{i % 9}"], i % 4 != 0) for i in range(40)]
     scrapers = spark.createDataFrame(rows, "scraper_key string, name string, url_patterns array<string>, enabled boolean")
     joined = {r["seq"]: r["scraper_key"] for r in enrich.match_scraper(refs, scrapers).collect()}
-    inline = {r["seq"]: r["scraper_key"] for r in enrich.match_scraper(refs, scrapers, inline=1000).collect()}
-    assert joined == inline and joined[999] is None and len(set(joined.values())) > 5
+    fits = lambda url: min((k for k, _, ps, on in rows if on and any(p in url for p in ps)), default=None)
+    assert joined == {r["seq"]: fits(r["url"]) for r in refs.collect()} and len(set(joined.values())) > 5
+    rows = [("k2", "a", [""], True), ("k1", "b", ["/es/"], True), ("k0", "c", ["", "x"], False)]
+    scrapers = spark.createDataFrame(rows, scrapers.schema)
+    refs = spark.createDataFrame([(1, "https://a/es/1"), (2, "b"), (3, ""), (4, None)], "seq int, url string")
+    assert dict(tuple(r)[::2] for r in enrich.match_scraper(refs, scrapers).collect()) == {1: "k1", 2: "k2", 3: "k2", 4: None}
+
+
+def test_an_index_keeps_its_bucket_count(spark, tmp_path):
+    path = str(tmp_path / "index")
+    postings = spark.createDataFrame(
+        [("ab", 1, [(1, 1.0)]), ("cd", 2, [(2, 0.1)])], "lexeme string, id long, positions array<struct<p:int,w:double>>"
+    )
+    write_postings(postings, path, buckets=8)
+    assert read_postings(spark, path, ["ab"]).count() == 1 and read_postings(spark, path).count() == 2
+    with pytest.raises(IndexMismatch):
+        read_postings(spark, path, ["ab"], buckets=16)
+    with pytest.raises(IndexMismatch):
+        write_postings(postings, path, buckets=16)
+    write_postings(postings.where("id = 2"), path, buckets=8)
+    assert read_postings(spark, path, ["cd"]).count() == 2
+
+
+def test_a_row_without_a_time_passes(spark):
+    refs = spark.createDataFrame([("a", 1, None), ("a", 2, NOW)], "external_id string, seq long, ts timestamp_ntz")
+    labelled, _ = dedup_ttl.accept_with_ttl(refs, None, dt.timedelta(hours=24))
+    assert {r.seq: r.is_duplicate for r in labelled.collect()} == {1: False, 2: False}
+
+
+def test_upsert_takes_the_first_of_repeated_keys(spark):
+    stored = _stored(spark)
+    once, twice = _batch(spark, "x", "e1"), _batch(spark, "x", "e1", "x", "e1")
+    after = upsert.upsert(stored, twice, NOW)
+    assert after.count() == upsert.upsert(stored, once, NOW).count() == stored.count() + 1
+
+
+def test_snapshots_are_found_after_a_restart(spark):
+    root = scratch_path(spark, "restart")
+    first = streams.Upserts(spark, root, _stored(spark), lambda n: NOW)
+    first(_batch(spark, "x"), 0)
+    again = streams.Upserts(spark, root, _stored(spark), lambda n: NOW)
+    assert again.result().count() == first.result().count() == _stored(spark).count() + 1

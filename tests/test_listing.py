@@ -53,3 +53,11 @@ def test_wildcards_and_dates(spark):
 def test_top_k_plan(spark):
     plan = listing.recent_jobs(_jobs(spark), 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_odd_filter_texts(spark):
+    """User input never ends a query; a stray backslash is a plain character."""
+    jobs = spark.createDataFrame([("a\\b",), ("100%",), ("x_y",), ("end\\",)], "title string")
+    found = lambda text: sorted(r[0] for r in jobs.where(filters.holds("title", text)).collect())
+    assert found("a\\b") == ["a\\b"] and found("\\") == ["a\\b", "end\\"] and found("0\\%") == ["100%"]
+    assert found("d\\") == ["end\\"] and found("\\_") == ["x_y"] and found("\\\\") == ["a\\b", "end\\"]
