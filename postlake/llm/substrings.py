@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlake.llm.common import U, grams, mix, split_words, text_chunks
+from postlake.llm.common import U, grams, mix, slices, small_batches, split_words, text_chunks
 from postlake.llm.fm_index import FMIndex
 from postlake.session import cut_lineage
 
@@ -84,7 +84,7 @@ def _squeeze(batches):
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in slices(batches):
         body = pa.array([pack.compress(t.encode()) for t in batch.column(2).to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), body], ["id", "mark", "packed"])
 
@@ -164,7 +164,7 @@ def repeats(codes: np.ndarray, size: int, ends: np.ndarray, window: int) -> np.n
     return gone
 
 
-def _shard(window: int, kind: pa.DataType):
+def _shard(window: int):
     """Segments of a shard to the repeated windows in them: (id, mark, start, n)."""
 
     def search(table: pa.Table) -> pa.Table:
@@ -223,7 +223,7 @@ def _without(window: int):
     """(row, packed, list of (start, n), copy) to (row, n_words, n_removed, kept)."""
 
     def drop(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_removed, kept = [], [], []
             for row in range(batch.num_rows):
                 words = _words(batch.column(2)[row].as_py())
@@ -260,6 +260,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
       one of smaller hash comes first.
     * A row without an id is not compared: all its words stay. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     frame = frame.select("id", F.xxhash64("body").alias("mark"), "body")
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     # What anchors of few occurrences cover goes to shards; each holds about SHARD segments.
     total = runs.agg(F.coalesce(F.sum(F.size(F.expr("filter(runs, r -> NOT r.hot)"))), F.lit(0))).first()[0]
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD))))
-    gone = segments(False).withColumn("shard", shard).groupBy("shard").applyInArrow(_shard(window, None), T.StructType([*key, *run]))
+    gone = segments(False).withColumn("shard", shard).groupBy("shard").applyInArrow(_shard(window), T.StructType([*key, *run]))
 
     singles = segments(True).mapInArrow(
         _single_windows(window), T.StructType([field("h1", T.LongType()), field("h2", T.LongType()), *key, field("start", T.IntegerType())])
