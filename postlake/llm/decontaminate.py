@@ -91,7 +91,8 @@ def contamination(
         places = places.where("start >= 0 AND start + length <= n")
         places = places.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "length", "key")).alias("c"))
         places = cut_lineage(places, "places").select(F.col("id").alias("id2"), F.col("mark").alias("mark2"), "c")
-        result = result.join(places, F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
+        # The places grow with the corpus: merged at every size, never sent whole to all tasks.
+        result = result.join(places.hint("merge"), F.col("id").eqNullSafe(F.col("id2")) & (F.col("mark") == F.col("mark2")), "left")
     else:
         result = result.withColumn("c", F.expr("CAST(NULL AS array<struct<start:int,length:int,key:string>>)"))
     found = "filter(coalesce(c, array()), x -> array_join(slice(w, x.start + 1, x.length), ' ') = x.key)"
@@ -127,4 +128,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of ``docs`` whose id has no contaminated row; rows without an id stay."""
     gone = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("gone")).distinct()
     gone = cut_lineage(gone, "contaminated-ids")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
