@@ -4,8 +4,9 @@ Each text becomes the set of its word shingles. Texts of equal sets form a class
 minima are taken, cut into bands, and documents that share a band are candidates. Their signatures are compared first,
 then the full sets. Links form groups by alternating large-star and small-star.
 
-A band that many documents share is never expanded into all its pairs: its members are linked to one pivot, and a
-second look takes only those bands whose members are then still in different groups.
+A band that many documents share is never expanded into all its pairs: its members are linked to one pivot. Where the
+members of a band are then still in different groups, documents meet blocks of others, as one row a block, and only
+confirmed links come out.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlake.llm.common import CHUNK_BYTES, U, grams, mix, split_words, text_chunks
+from postlake.llm.common import CHUNK_BYTES, U, grams, mix, small_batches, split_words, text_chunks
 from postlake.llm.components import components
 from postlake.session import cut_lineage
 
 #: Bytes of text that one group of confirmations holds.
 GROUP_BYTES = 8 << 20
+#: Documents of a block that others are compared with.
+BLOCK = 256
 
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +175,103 @@ class _Linker:
         return cut_lineage(found, "links")
 
 
+def _across(shared: DataFrame, best: DataFrame, label: DataFrame, texts: DataFrame, heads: DataFrame, linker: _Linker) -> DataFrame | None:
+    """Links between groups that still share a band: what the pivots alone can't show.
+
+    Documents are dealt into blocks by the group of their best pivot. A document outside that group meets each block
+    that it shares a band with, as one row a block and not one a pair; members of a group meet blocks of other groups.
+    """
+    kind = heads.schema["id"].dataType.simpleString()
+    named = label.select(F.col("node").alias("id"), F.col("component").alias("c"))
+    people = shared.select("id").distinct().join(named, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    homes = best.select(F.col("b").alias("id"), "a").join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    people = people.join(homes.select("id", F.coalesce("ca", "a").alias("g")), "id", "left").withColumn("g", F.coalesce("g", "c"))
+    people = cut_lineage(people, "people")
+    sizes = people.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    people = people.join(cut_lineage(sizes, "home-sizes"), "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    people = cut_lineage(people.select("id", "c", "g", "block"), "dealt-people")
+
+    rows = shared.select("band", "id").join(people, "id")
+    split = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    apart = cut_lineage(rows.join(cut_lineage(split, "split-bands"), "band", "left_semi"), "apart")
+    there = apart.select("band", F.col("g").alias("to"), F.col("block").alias("at")).distinct()
+    there = cut_lineage(there, "blocks-by-band")
+    meets = apart.join(there, "band").where("c <> g OR `to` < g").select("id", "to", "at").distinct()
+    meets = cut_lineage(meets, "meets")
+    cells = meets.groupBy("to", "at").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
+    cells = cut_lineage(cells, "cells")
+    if cells.isEmpty():
+        return None
+    full = texts.join(heads.select("id", "signature"), "id").join(people, "id")
+    full = cut_lineage(full.join(apart.select("id").distinct(), "id", "left_semi"), "met-texts")
+    left = meets.join(cells, ["to", "at"]).select("id", "to", "at", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    left = left.join(full.select("id", "c", "signature", "body"), "id")
+    right = cells.select(F.col("to").alias("g"), F.col("at").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = right.join(full, ["g", "block"])
+    groups = max(1, -(-full.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0] * 2 // GROUP_BYTES))
+    deal = lambda *by: F.pmod(F.xxhash64(*by), F.lit(groups))
+    left = left.select(deal("to", "at", "part").alias("k"), "to", "at", "part", "id", "c", "signature", "body")
+    right = right.select(
+        deal("g", "block", "part").alias("k2"), "g", "block", F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("c").alias("c2"),
+        F.col("signature").alias("signature2"), F.col("body").alias("body2"),
+    )
+    compare = _cell(linker.k, linker.percent, linker.least)
+    found = left.groupBy("k").cogroup(right.groupBy("k2")).applyInArrow(compare, f"a {kind}, b {kind}")
+    return cut_lineage(found, "links")
+
+
+def _cell(k: int, percent: int, least: float):
+    """Documents against the blocks that they meet: signatures first, then the full sets, each with all of a block at once."""
+
+    def sets_of(texts):
+        out = []
+        for _, n, offsets, raw in text_chunks(texts):
+            owners, hashes = shingle_sets(offsets, raw, k)
+            cuts = np.searchsorted(owners, np.arange(n + 1))
+            out += [hashes[cuts[i] : cuts[i + 1]] for i in range(n)]
+        return out
+
+    def places(table, names):
+        held = {}
+        for i, key in enumerate(zip(*[table.column(c).to_pylist() for c in names], strict=True)):
+            held.setdefault(key, []).append(i)
+        return held
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        kind = left.schema.field("id").type
+        if left.num_rows and right.num_rows:
+            ids, labels, own = left.column("id").to_pylist(), left.column("c").to_pylist(), sets_of(left.column("body"))
+            ids2, labels2, other = right.column("id2").to_pylist(), right.column("c2").to_pylist(), sets_of(right.column("body2"))
+            signs = np.frombuffer(b"".join(left.column("signature").to_pylist()), "<u2").reshape(left.num_rows, -1)
+            signs2 = np.frombuffer(b"".join(right.column("signature2").to_pylist()), "<u2").reshape(right.num_rows, -1)
+            blocks = places(right, ("g", "block", "part2"))
+            for key, rows in places(left, ("to", "at", "part")).items():
+                block = np.array(blocks.get(key, []), np.int64)
+                if not len(block):
+                    continue
+                sizes = np.array([len(other[j]) for j in block])
+                values = np.concatenate([other[j] for j in block])
+                order = np.argsort(values, kind="stable")
+                values, holders = values[order], np.repeat(np.arange(len(block)), sizes)[order]
+                names = [labels2[j] for j in block]
+                for i in rows:
+                    near = (signs[i] == signs2[block]).mean(axis=1) >= least
+                    near &= np.array([c != labels[i] for c in names])
+                    if not near.any():
+                        continue
+                    lo, hi = np.searchsorted(values, own[i], "left"), np.searchsorted(values, own[i], "right")
+                    span = hi - lo
+                    at = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(span.sum())
+                    both = np.bincount(holders[at], minlength=len(block))
+                    for j in np.flatnonzero(near & (100 * both >= percent * (sizes + len(own[i]) - both))):
+                        a.append(ids[i])
+                        b.append(ids2[block[j]])
+        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
+
+    return compare
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -194,6 +294,7 @@ def near_duplicates(
       each has the component of its own set, but a set whose smallest id is another set's too is not compared further.
     * A row without an id takes no part: its component is null and it is kept.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     frame = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("body"))
     frame = frame.select("id", F.xxhash64("body").alias("mark"), "body")
@@ -215,7 +316,8 @@ def near_duplicates(
     pivots = cut_lineage(pivots.select("band", "pivot"), "pivots")
     shared = cut_lineage(members.join(pivots, "band"), "shared-bands")
     involved = heads.join(shared.select("id").distinct(), "id", "left_semi").select("id", "mark")
-    texts = frame.join(cut_lineage(involved, "involved"), ["id", "mark"], "left_semi").select("id", "body")
+    # What grows with the corpus is merged at every size, never sent whole to all tasks.
+    texts = frame.join(cut_lineage(involved, "involved").hint("merge"), ["id", "mark"], "left_semi").select("id", "body")
     texts = cut_lineage(texts.dropDuplicates(["id"]), "involved-texts")
     linker = _Linker(texts, heads, shingle, percent, bands * rows_per_band)
 
@@ -237,24 +339,16 @@ def near_duplicates(
     links = links.unionAll(more)
     label = cut_lineage(components(links), "labels")
 
-    # Bands whose members are still in different groups: pairs across groups that were not compared yet.
-    own = shared.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    split = own.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    apart = cut_lineage(own.join(cut_lineage(split, "split-bands"), "band", "left_semi").select("band", "id", "c", "pivot"), "apart")
-    left = apart.where("id <> pivot").select("band", F.col("id").alias("a"), F.col("c").alias("ca"))
-    right = apart.where("id <> pivot").select("band", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "band").where("a < b AND ca <> cb").select("a", "b").distinct()
-    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    across = cut_lineage(across, "across")
-    if not across.isEmpty():
-        links = links.unionAll(linker.links(across))
+    found = _across(shared, best, label, texts, heads, linker)
+    if found is not None:
+        links = links.unionAll(found)
         label = cut_lineage(components(links), "labels")
 
     verdict = classes.join(label.withColumnRenamed("node", "head"), "head", "left").select(
         "n", "s1", "s2", F.coalesce("component", "head").alias("component")
     )
     verdict = cut_lineage(verdict, "class-components")
-    judged = signed.select("id", "n", "s1", "s2").join(verdict, ["n", "s1", "s2"], "left")
+    judged = signed.select("id", "n", "s1", "s2").join(verdict.hint("merge"), ["n", "s1", "s2"], "left")
     component = F.coalesce("component", "id")
     return judged.select(
         F.col("id").alias(id_col),
@@ -268,4 +362,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) ->
     """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; rows without an id stay."""
     gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
     gone = cut_lineage(gone, "dropped-ids")
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
