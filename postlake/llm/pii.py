@@ -142,7 +142,10 @@ def _votes(spans: DataFrame) -> DataFrame:
 
 
 def _posterior(rows: list, rounds: int = 40) -> tuple[list[float], dict]:
-    """Two-class expectation-maximisation over rows (votes, count); labelers are independent given the class."""
+    """Two-class expectation-maximisation over rows (votes, count); labelers are independent given the class.
+
+    A labeler that abstains says nothing: only its votes for and against are modelled.
+    """
     guess = []
     for r in rows:
         total = sum(r["votes"])
@@ -153,14 +156,14 @@ def _posterior(rows: list, rounds: int = 40) -> tuple[list[float], dict]:
         chance = {}
         for j in range(len(LABELERS)):
             for c in (0, 1):
-                for v in (-1, 0, 1):
+                said = {v: sum(r["n"] * (p if c else 1 - p) for r, p in zip(rows, guess, strict=True) if r["votes"][j] == v) for v in (-1, 1)}
+                for v in (-1, 1):
                     # A labeler is taken to be right more often than wrong before any data.
                     prior = 3.0 if v == 2 * c - 1 else 1.0
-                    hits = sum(r["n"] * (p if c else 1 - p) for r, p in zip(rows, guess, strict=True) if r["votes"][j] == v)
-                    chance[j, c, v] = (hits + prior) / (mass[c] + 5.0)
+                    chance[j, c, v] = (said[v] + prior) / (said[-1] + said[1] + 4.0)
         guess = []
         for r in rows:
-            log = [math.log(mass[c]) + sum(math.log(chance[j, c, r["votes"][j]]) for j in range(len(LABELERS))) for c in (0, 1)]
+            log = [math.log(mass[c]) + sum(math.log(chance[j, c, v]) for j, v in enumerate(r["votes"]) if v) for c in (0, 1)]
             guess.append(1 / (1 + math.exp(min(60.0, log[0] - log[1]))))
     return guess, chance
 
