@@ -174,7 +174,11 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: i
         F.col("first.record_id").alias("to_record"),
     )
     judged = cut_lineage(judged, "resolved")
-    full = read_archives(spark, source, with_payload=True).join(judged.hint("merge"), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
+    # Dealt by place into as many parts as there will be archives: the join and the writer share one shuffle of payloads.
+    total = heads.agg(F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()[0]
+    archives = max(1, -(-total // ARCHIVE_BYTES))
+    payloads = read_archives(spark, source, with_payload=True).repartition(archives, "file", "at")
+    full = payloads.join(judged.repartition(archives, "f", "a").hint("merge"), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
     fresh = full.select(
         F.col("kind").alias("record_type"),
         F.when(F.col("kind") == "revisit", _uuid(F.col("record_id"), F.col("file"), F.col("at"), F.lit(date)))
@@ -188,8 +192,7 @@ def resolve_revisits(spark: SparkSession, source: str, target: str, min_bytes: i
         F.when(F.col("kind") == "revisit", F.col("to_page")).alias("refers_to"),
         F.when(F.col("kind") == "revisit", F.col("to_record")).alias("refers_id"),
     )
-    total = judged.count() and heads.agg(F.sum("payload_bytes")).first()[0]
-    _write(fresh.repartition(max(1, -(-(total or 0) // ARCHIVE_BYTES))), target, date)
+    _write(fresh, target, date)
 
 
 def deduplicated_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
