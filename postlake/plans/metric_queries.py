@@ -37,6 +37,7 @@ def _rounded(df):
     return df
 
 
+@query("pipeline_metrics", R + _aggregates())
 @query("processing_metrics", R + _aggregates())
 def processing_metrics(spark, d):
     return _rounded(metrics.processing_metrics(views.results(spark, d)))
