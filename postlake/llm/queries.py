@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postlake.llm import language_id
 from postlake.llm.common import read
 from postlake.llm.decontaminate import contamination, contamination_digest
+from postlake.llm.hard_negatives import mine
 from postlake.llm.line_dedup import drop_repeated_lines
 from postlake.llm.maxscore import quantized, top_k
 from postlake.llm.minhash import near_duplicates
@@ -223,3 +224,37 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return contamination_digest(contamination(docs, read(spark, sf_dir, "benchmark")))
+
+
+#: Rows of ``embeddings`` that take part, with whole components.
+VECTORS_SQL = """
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query(
+    "op11_hard_negatives",
+    f"""
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, e
+        FROM ({VECTORS_SQL.format(scale=256)}) WHERE label IS NOT NULL),
+    s AS (
+        SELECT q.vec_id AS anchor_id, q.label = c.label AS same, c.vec_id,
+               CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+    p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+    n AS (
+        SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+               row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+         AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label, F.col("embedding").alias("v"))
+    return mine(rows, F.expr("id % 100 = 0"))
