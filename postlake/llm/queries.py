@@ -18,7 +18,9 @@ from postlake.llm.packing import pack_documents
 from postlake.llm.pii import find_personal_data, span_digest
 from postlake.llm.substrings import remove_repeats
 from postlake.llm.url_filter import judge_urls
+from postlake.llm.vector_codes import encode, learn, with_group_sum
 from postlake.llm.warc import deduplicated_archives
+from postlake.session import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -258,3 +260,45 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("IF(vec_id % 7 = 0, (label + 1) % 10, label)").alias("label")
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label, F.col("embedding").alias("v"))
     return mine(rows, F.expr("id % 100 = 0"))
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """The rounds written out, each an assignment and the means of it."""
+    ctes = [
+        f"v AS MATERIALIZED ({VECTORS_SQL.format(scale=1024)})",
+        "base AS MATERIALIZED (SELECT vec_id, label, p, e[p * (len(e) // 4) + 1:(p + 1) * (len(e) // 4)] AS x FROM v, range(4) t(p))",
+        "k0 AS MATERIALIZED (SELECT p, n - 1 AS i, x AS c FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS n FROM base) WHERE n <= 256)",
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, label, p, x, min(256 * d + i) AS m FROM (
+                SELECT b.*, k.i, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda j: (x[j] - c[j]) * (x[j] - c[j]))) AS BIGINT) AS d
+                FROM base b JOIN k{r} k ON b.p = k.p)
+            GROUP BY vec_id, label, p, x)"""
+        )
+        if r < rounds:
+            ctes.append(
+                f"""k{r + 1} AS MATERIALIZED (
+                SELECT k.p, k.i, coalesce(n.c, k.c) AS c FROM k{r} k LEFT JOIN (
+                    SELECT p, i, list(mean ORDER BY j) AS c FROM (
+                        SELECT p, m % 256 AS i, j, CAST(floor(CAST(sum(x[j]) AS DOUBLE) / count(*)) AS BIGINT) AS mean
+                        FROM a{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS j) GROUP BY 1, 2, 3)
+                    GROUP BY p, i) n ON k.p = n.p AND k.i = n.i)"""
+            )
+    return "WITH " + ",\n".join(ctes) + f"""
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+           (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, i)) FROM k{rounds}) AS codebooks_sha256
+    FROM (SELECT vec_id, label, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, CAST(sum(m // 256) AS BIGINT) AS error
+          FROM a{rounds} GROUP BY vec_id, label)
+    """
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    books = learn(rows, id_col="vec_id", vector_col="embedding")
+    coded = cut_lineage(encode(rows, books, "embedding").select("vec_id", "label", "code", "error"), "vector-codes")
+    summed = with_group_sum(coded, "label", "error", "label_error", F.col("vec_id"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return summed.select("vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256"))
