@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlake.llm import language_id
+from postlake.llm import language_id, toxicity
 from postlake.llm.common import read
 from postlake.llm.decontaminate import contamination, contamination_digest
 from postlake.llm.hard_negatives import mine
@@ -262,6 +262,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows, F.expr("id % 100 = 0"))
 
 
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    known = toxicity.labelled(docs.where(~toxicity.held_out(F.col("doc_id"))), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = toxicity.train(cut_lineage(known, "toxicity-labels"))
+    return toxicity.judge(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def _codes_sql(rounds: int = 4) -> str:
     """The rounds written out, each an assignment and the means of it."""
     ctes = [
