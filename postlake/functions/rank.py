@@ -2,7 +2,8 @@
 
 ``hits`` is ``array<struct<p int, t int, w double>>`` sorted by position: the
 places where a query term occurs, with the term's number and the field weight.
-It is bounded by terms x 256, so the work per document is, too.
+With the limits of stored positions it is bounded by terms x 256, and so is the
+work per document.
 
 An extent is a shortest stretch of hits that satisfies the query. Each adds
 ``(n / sum(1/w)) / (1 + noise)``, with n hits in the stretch and noise the
@@ -13,7 +14,6 @@ and Tudhope, "Relevance ranking for one to three term queries" (2000).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +84,7 @@ def with_rank(df: DataFrame, tree, name: str) -> DataFrame:
     if not wanted:
         return df.withColumn(name, F.lit(0.0))
     if not websearch.monotone(tree):
-        return df.withColumn(name, _general(tree)(F.col("hits")))
+        return _walk(df, tree, name)
     if wanted == [tree] and _one_word_each(tree):
         # Every hit is an extent of its own, worth the weight of its field.
         distinct = "array_distinct(transform(hits, h -> struct(h.p, h.w)))"
@@ -174,55 +174,58 @@ def _fold(wanted) -> str:
     return f"aggregate(_entries, {start}, (acc, e) -> {step}, acc -> acc.s)"
 
 
-def scan_extents(hits: list[tuple[int, int, float]], tree) -> float:
-    """The same sum by direct search, for any tree (NOT below OR included).
+def _all_leaves(node) -> list:
+    """Words and phrases of a tree, negated ones included."""
+    kind, body = node
+    if kind in ("term", "phrase"):
+        return [node]
+    found = _all_leaves(body) if kind == "not" else [leaf for n in body for leaf in _all_leaves(n)]
+    return list(dict.fromkeys(found))
 
-    From each start, move right to the first hit that makes the stretch true,
-    then left to the last hit that keeps it true; go on behind that hit.
+
+def _named(value: str, name: str, use: str) -> str:
+    """``use`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
+
+
+def _walk(df: DataFrame, tree, name: str) -> DataFrame:
+    """The rank for any tree, NOT below OR included, as one fold over the positions of a document.
+
+    A stretch is judged by where its words and phrases first begin, or last end. From a start, the truth of the query can
+    change only where a leaf first occurs, so the least of these places at which it is true ends the stretch; likewise the
+    greatest place at which it still holds, looking back from the end, begins it. The next start lies behind that.
     """
-    number = {w: i for i, w in enumerate(websearch.terms(tree))}
-    entries: dict[tuple[int, float], set[int]] = {}
-    for p, t, w in hits:
-        entries.setdefault((p, w), set()).add(t)
-    order = sorted(entries)
-
-    def true_in(part: list) -> bool:
-        places: dict[int, set[int]] = {}
-        for key in part:
-            for t in entries[key]:
-                places.setdefault(t, set()).add(key[0])
-
-        def present(leaf) -> bool:
-            kind, body = leaf
-            if kind == "term":
-                return number[body] in places
-            sets = [(places.get(number[w], set()), d) for w, d in body]
-            return any(all(p + d in s for s, d in sets) for p in sets[0][0])
-
-        return websearch.holds(tree, present)
-
-    score, at = 0.0, 0
-    while at < len(order):
-        end = next((j for j in range(at, len(order)) if true_in(order[at : j + 1])), None)
-        if end is None:
-            break
-        begin = next((i for i in range(end, at - 1, -1) if true_in(order[i : end + 1])), None)
-        if begin is None:
-            at += 1
-            continue
-        n = end - begin + 1
-        inverse = sum(1.0 / w for _, w in order[begin : end + 1])
-        noise = (order[end][0] - order[begin][0]) - (n - 1)
-        if noise < 0:
-            noise = (n - 1) // 2
-        score += (n / inverse) / (1 + noise)
-        at = begin + 1
-    return score
-
-
-def _general(tree):
-    @F.pandas_udf("double")
-    def rank(hits: pd.Series) -> pd.Series:
-        return hits.map(lambda rows: scan_extents([(h["p"], h["t"], h["w"]) for h in rows], tree))
-
-    return rank
+    number, leaves = _numbers(tree), _all_leaves(tree)
+    starts, spans = [], []
+    for kind, body in leaves:
+        if kind == "term":
+            starts.append(_place(number[body]))
+            spans.append(0)
+        else:
+            rest = " AND ".join(f"array_contains({_place(number[w])}, p + {d})" for w, d in body[1:])
+            starts.append(f"filter({_place(number[body[0][0]])}, p -> {rest})")
+            spans.append(body[-1][1])
+    marked = settle(df, "_leaves", F.expr(f"array({', '.join(starts)})"))
+    marked = settle(marked, "_entries", F.expr("array_distinct(transform(hits, h -> named_struct('p', h.p, 'i', 1D / h.w)))"))
+
+    def truth(node, present: str) -> str:
+        if node in leaves:
+            return f"coalesce({present.format(j=leaves.index(node))}, false)"
+        kind, body = node
+        if kind == "not":
+            return f"NOT {truth(body, present)}"
+        return "(" + f" {kind} ".join(truth(n, present) for n in body) + ")"
+
+    ends = ", ".join(f"array_min(filter(_leaves[{j}], x -> x >= q)) + {d}" for j, d in enumerate(spans))
+    begins = ", ".join(f"array_max(filter(_leaves[{j}], x -> x <= e - {d}))" for j, d in enumerate(spans))
+    end = f"array_min(filter(concat(array(q), n), c -> {truth(tree, 'n[{j}] <= c')}))"
+    begin = f"array_max(filter(concat(array(e), r), c -> c >= q AND {truth(tree, 'r[{j}] >= c')}))"
+    noise = "IF(e - b - size(x) + 1 < 0, (size(x) - 1) DIV 2, e - b - size(x) + 1)"
+    gain = f"size(x) / aggregate(x, 0D, (a, y) -> a + y.i) / (1 + {noise})"
+    gained = _named("filter(_entries, y -> y.p >= b AND y.p <= e)", "x", f"CAST(acc.s + {gain} AS DOUBLE)")
+    moved = _named(f"coalesce({begin}, q)", "b", f"named_struct('q', b + 1, 's', {gained})")
+    found = _named(f"array({begins})", "r", moved)
+    step = _named(f"array({ends})", "n", _named(end, "e", f"IF(e IS NULL, named_struct('q', 2147483647, 's', acc.s), {found})"))
+    places = "array_distinct(transform(_entries, y -> y.p))"
+    fold = f"aggregate({places}, named_struct('q', 0, 's', 0D), (acc, q) -> IF(q < acc.q, acc, {step}), acc -> acc.s)"
+    return marked.withColumn(name, F.expr(fold)).drop("_entries", "_leaves")

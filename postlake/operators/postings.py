@@ -109,24 +109,34 @@ def capped(places: str) -> str:
     return f"IF({within}, {places}, {limited})"
 
 
+def stem_words(found: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(id, lexeme, places)`` from words with their places.
+
+    ``vocabulary (word, lexeme)`` holds the stem of every word, made once and joined back; without it each row's word is
+    stemmed. Words that share a stem in one document are put together by a group-by.
+    """
+    if vocabulary is None:
+        stemmed = with_stem(found, "word", "lexeme")
+    else:
+        stemmed = found.join(vocabulary, "word").select("id", "lexeme", "places")
+    return stemmed.groupBy("id", "lexeme").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def as_postings(found: DataFrame, limits: bool = False) -> DataFrame:
+    """``postings(lexeme, id, positions array<struct<p int, w double>>)`` from ``(id, lexeme, places)``."""
+    return found.selectExpr("lexeme", "id", f"{capped('places') if limits else 'places'} AS positions")
+
+
 def build_postings(
-    jobs: DataFrame, analyzer: str = "simple", initials: list[str] | None = None
+    jobs: DataFrame, analyzer: str = "simple", initials: list[str] | None = None, limits: bool = False
 ) -> DataFrame:
-    """``postings(lexeme, id, positions array<struct<p int, w double>>)``.
+    """The postings of documents.
 
-    With ``english``, words that share a stem in one document are put together
-    by a group-by whose partial step already sees the whole document, as all its
-    rows come from one task.
+    ``limits`` applies those of :func:`capped`; without them every position of every document is kept.
     """
     found = word_positions(jobs, analyzer, initials)
-    if analyzer == "english":
-        stemmed = with_stem(found, "word", "lexeme")
-        found = stemmed.groupBy("id", "lexeme").agg(
-            F.sort_array(F.flatten(F.collect_list("places"))).alias("places")
-        )
-    else:
-        found = found.withColumnRenamed("word", "lexeme")
-    return found.selectExpr("lexeme", "id", f"{capped('places')} AS positions")
+    found = stem_words(found) if analyzer == "english" else found.withColumnRenamed("word", "lexeme")
+    return as_postings(found, limits)
 
 
 def lexeme_bucket(lexeme: Column, buckets: int = BUCKETS) -> Column:
@@ -186,7 +196,9 @@ def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = No
     if buckets not in (None, held):
         raise IndexMismatch(f"the index has {held} buckets, not {buckets}")
     wanted = [lexeme_bucket(F.lit(x), held) for x in lexemes]
-    return table.where(F.col("bucket").isin(*wanted) & F.col("lexeme").isin(*lexemes))
+    found = table.where(F.col("bucket").isin(*wanted) & F.col("lexeme").isin(*lexemes))
+    found.only_lexemes = frozenset(lexemes)  # a search for others is refused
+    return found
 
 
 def tsvector_rows(postings: DataFrame) -> DataFrame:

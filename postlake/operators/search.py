@@ -2,8 +2,8 @@
 
 Two ways to the same hits:
 
-* with an index (:mod:`postlake.operators.postings`), only the postings of the
-  query's lexemes are read, and grouped by document;
+* with an index (:mod:`postlake.operators.index`, or a table of postings), only
+  the postings of the query's lexemes are read, and grouped by document;
 * without one, the text is scanned. For ``simple`` this happens inside each row
   with no shuffle at all; a plain substring test in front skips documents that
   cannot match.
@@ -20,7 +20,8 @@ from postlake.functions.settle import settle
 from postlake.operators.filters import active, holds
 from postlake.operators.listing import Page, list_page
 from postlake.functions.analyze import MAX_FIELD_POSITIONS, MAX_POS
-from postlake.operators.postings import build_postings, capped, document_words, in_fields
+from postlake.operators.index import SearchIndex
+from postlake.operators.postings import IndexMismatch, build_postings, capped, document_words, in_fields
 
 SHOWN = ["id", "company_name", "title", "location", "first_seen_at"]
 _CARRIED = [*SHOWN, "last_seen_at"]
@@ -61,8 +62,8 @@ def _may_match(tree) -> Column | None:
     return out
 
 
-def scan_hits(jobs: DataFrame, tree, keep: list[str]) -> DataFrame:
-    """``keep`` plus ``hits``, for the ``simple`` analyzer, row by row."""
+def scan_hits(jobs: DataFrame, tree, keep: list[str], limits: bool = False) -> DataFrame:
+    """``keep`` plus ``hits``, for the ``simple`` analyzer, row by row; ``limits`` as for stored positions."""
     terms = websearch.terms(tree)
     guard = _may_match(tree)
     if guard is not None:
@@ -73,6 +74,8 @@ def scan_hits(jobs: DataFrame, tree, keep: list[str]) -> DataFrame:
     listed = ", ".join(f"'{t}'" for t in terms)
     entry = f"IF(t IN ({listed}), named_struct('p', {{p}}, 't', CASE t {number} END, 'w', {{w}}), NULL)"
     near = settle(docs, "near", F.expr(in_fields(entry))).select(*keep, "near")
+    if not limits:
+        return near.select(*keep, F.array_sort("near").alias("hits"))
     # The limits of stored positions apply per term; few documents come near.
     of_term = "transform(filter(near, s -> s.t = t), s -> named_struct('p', s.p, 'w', s.w))"
     limited = f"transform(array({of_term}), found -> {capped('found')})[0]"
@@ -85,6 +88,9 @@ def scan_hits(jobs: DataFrame, tree, keep: list[str]) -> DataFrame:
 def posting_hits(postings: DataFrame, tree) -> DataFrame:
     """``(id, hits)`` from an index; reads the query's lexemes only."""
     terms = websearch.terms(tree)
+    held = getattr(postings, "only_lexemes", None)
+    if held is not None and not held.issuperset(terms):
+        raise IndexMismatch(f"the postings were read without {sorted(set(terms) - held)}")
     number = _numbers(terms)
     found = postings.where(F.col("lexeme").isin(*terms))
     placed = found.select(
@@ -110,21 +116,30 @@ def matched(
     jobs: DataFrame,
     tree,
     analyzer: str = "english",
-    postings: DataFrame | None = None,
+    postings: DataFrame | SearchIndex | None = None,
     company: str = "",
     location: str = "",
+    limits: bool = False,
 ) -> DataFrame:
-    """Active documents that match, with their ``hits``."""
+    """Active documents that match, with their ``hits``.
+
+    Of a :class:`SearchIndex`, the buckets of the query's lexemes are read.
+    ``limits`` holds for texts that are read here; an index has its own.
+    """
+    if isinstance(postings, SearchIndex):
+        if postings.analyzer != analyzer:
+            raise IndexMismatch(f"the index is {postings.analyzer}, not {analyzer}")
+        postings = postings.postings(websearch.terms(tree))
     kept = _narrow(jobs, company, location)
     if tree is None:
         empty = kept.where(F.lit(False)).select(*_CARRIED, F.array().cast(ranking.HITS).alias("hits"))
         return ranking.with_places(empty, tree)
     if postings is None and analyzer == "simple":
-        found = ranking.with_places(scan_hits(kept, tree, _CARRIED), tree)
+        found = ranking.with_places(scan_hits(kept, tree, _CARRIED, limits), tree)
         return found.where(ranking.matches(tree))
     if postings is None:
         initials = sorted({t[0] for t in websearch.terms(tree)})
-        postings = build_postings(kept, analyzer, initials)
+        postings = build_postings(kept, analyzer, initials, limits)
     hits = ranking.with_places(posting_hits(postings, tree), tree)
     if not websearch.matches_empty(tree):
         # Match before the join, so that only matching ids meet the postings table.
@@ -139,17 +154,17 @@ def _total(found: DataFrame) -> DataFrame:
 
 
 def search_matches(
-    jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | None = None
+    jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | SearchIndex | None = None, limits: bool = False
 ) -> DataFrame:
     """All matching active postings, unranked."""
     tree = websearch.parse(jobs.sparkSession, query, analyzer)
-    return matched(jobs, tree, analyzer, postings).select(*SHOWN)
+    return matched(jobs, tree, analyzer, postings, limits=limits).select(*SHOWN)
 
 
 def search_total(
-    jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | None = None
+    jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | SearchIndex | None = None, limits: bool = False
 ) -> DataFrame:
-    return _total(search_matches(jobs, query, analyzer, postings))
+    return _total(search_matches(jobs, query, analyzer, postings, limits))
 
 
 def _ranked(found: DataFrame, tree) -> DataFrame:
@@ -161,13 +176,14 @@ def search_ranked(
     jobs: DataFrame,
     query: str,
     analyzer: str = "english",
-    postings: DataFrame | None = None,
+    postings: DataFrame | SearchIndex | None = None,
     company: str = "",
     location: str = "",
+    limits: bool = False,
 ) -> DataFrame:
     """All matching active postings with their rank."""
     tree = websearch.parse(jobs.sparkSession, query, analyzer)
-    return _ranked(matched(jobs, tree, analyzer, postings, company, location), tree)
+    return _ranked(matched(jobs, tree, analyzer, postings, company, location, limits), tree)
 
 
 def _page(ranked: DataFrame, limit: int, offset: int) -> DataFrame:
@@ -182,12 +198,13 @@ def search_simple(
     page_limit: int = 20,
     page_offset: int = 0,
     analyzer: str = "english",
-    postings: DataFrame | None = None,
+    postings: DataFrame | SearchIndex | None = None,
     company: str = "",
     location: str = "",
+    limits: bool = False,
 ) -> DataFrame:
     """One page, best first, without the total."""
-    return _page(search_ranked(jobs, query, analyzer, postings, company, location), page_limit, page_offset)
+    return _page(search_ranked(jobs, query, analyzer, postings, company, location, limits), page_limit, page_offset)
 
 
 def search_optimized(
@@ -196,15 +213,17 @@ def search_optimized(
     page_limit: int = 20,
     page_offset: int = 0,
     analyzer: str = "english",
-    postings: DataFrame | None = None,
+    postings: DataFrame | SearchIndex | None = None,
+    limits: bool = False,
 ) -> DataFrame:
     """One page, best first, with the number of all matches on every row.
 
-    The total comes from a scalar subquery that matches and does not rank.
+    Over an index the hits of a document meet in one exchange, which the page
+    and the total share. The total is a scalar subquery that does not rank.
     """
     tree = websearch.parse(jobs.sparkSession, query, analyzer)
-    found = matched(jobs, tree, analyzer, postings)
-    total = _total(found.select("id")).scalar()
+    found = matched(jobs, tree, analyzer, postings, limits=limits)
+    total = _total(found).scalar()
     return _page(_ranked(found, tree), page_limit, page_offset).select("*", total.alias("total_count"))
 
 
@@ -213,12 +232,13 @@ def search_page(
     query: str,
     page: Page = Page(1, 20),
     analyzer: str = "english",
-    postings: DataFrame | None = None,
+    postings: DataFrame | SearchIndex | None = None,
+    limits: bool = False,
 ) -> DataFrame:
     """The search of the listing service: an empty query is the plain listing."""
     if query == "":
         return list_page(jobs, None, page)
-    rows = search_optimized(jobs, query, page.page_size, page.offset, analyzer, postings)
+    rows = search_optimized(jobs, query, page.page_size, page.offset, analyzer, postings, limits)
     return rows.select(
         *SHOWN,
         "rank",
@@ -237,9 +257,9 @@ def require_query(query: str) -> str:
 
 
 def typeahead(
-    jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | None = None
+    jobs: DataFrame, query: str, analyzer: str = "english", postings: DataFrame | SearchIndex | None = None, limits: bool = False
 ) -> DataFrame:
     """Top five while typing; fewer than two characters give nothing."""
     text = query.strip()
-    found = search_simple(jobs, text, 5, 0, analyzer, postings)
+    found = search_simple(jobs, text, 5, 0, analyzer, postings, limits=limits)
     return found if len(text) >= 2 else found.where(F.lit(False))

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from postlake.functions import rank, websearch
+from postlake.functions import websearch
 from postlake.operators import postings, search
 from postlake.operators.listing import Page
 from postlake.session import scratch_path
@@ -59,10 +59,56 @@ def _random_jobs(spark, n=60, seed=5):
 
 QUERIES = [
     "aa", "aa bb", "aa bb cc", "aa or bb", "aa bb or cc dd", '"aa bb"', '"aa bb" cc', '"aa bb" or "cc dd"',
-    '"aa aa"', '"aa bb cc" or dd', "aa -bb", "-aa", '-"aa bb" cc', "aa or -bb", "aa bb or -cc dd", "aa aa",
+    '"aa aa"', '"aa bb cc" or dd', "aa -bb", "-aa", '-"aa bb" cc', "aa or -bb", "aa bb or -cc dd", "aa aa", 'aa -"bb cc" or dd', '-aa or -"bb cc" dd', '-"aa aa" bb or cc -dd',
 ]
 
 
+def scan_extents(hits, tree):
+    """The rank by direct search, for any tree (NOT below OR included).
+
+    From each start, move right to the first hit that makes the stretch true,
+    then left to the last hit that keeps it true; go on behind that hit.
+    """
+    number = {w: i for i, w in enumerate(websearch.terms(tree))}
+    entries = {}
+    for p, t, w in hits:
+        entries.setdefault((p, w), set()).add(t)
+    order = sorted(entries)
+
+    def true_in(part):
+        places = {}
+        for key in part:
+            for t in entries[key]:
+                places.setdefault(t, set()).add(key[0])
+
+        def present(leaf):
+            kind, body = leaf
+            if kind == "term":
+                return number[body] in places
+            sets = [(places.get(number[w], set()), d) for w, d in body]
+            return any(all(p + d in s for s, d in sets) for p in sets[0][0])
+
+        return websearch.holds(tree, present)
+
+    score, at = 0.0, 0
+    while at < len(order):
+        end = next((j for j in range(at, len(order)) if true_in(order[at : j + 1])), None)
+        if end is None:
+            break
+        begin = next((i for i in range(end, at - 1, -1) if true_in(order[i : end + 1])), None)
+        if begin is None:
+            at += 1
+            continue
+        n = end - begin + 1
+        inverse = sum(1.0 / w for _, w in order[begin : end + 1])
+        noise = (order[end][0] - order[begin][0]) - (n - 1)
+        if noise < 0:
+            noise = (n - 1) // 2
+        score += (n / inverse) / (1 + noise)
+        at = begin + 1
+    return score
+
+
 def _by_hand(rows, tree):
     number = {w: i for i, w in enumerate(websearch.terms(tree))}
     out = {}
@@ -83,7 +129,7 @@ def _by_hand(rows, tree):
             return any(all(p + d in s for s, d in sets) for p in sets[0][0])
 
         if websearch.holds(tree, present):
-            out[i] = rank.scan_extents(hits, tree)
+            out[i] = scan_extents(hits, tree)
     return out
 
 
@@ -111,15 +157,20 @@ def test_rank_of_known_texts(spark):
 
 def test_positions_have_limits(spark):
     jobs = _jobs(spark, [("w " * 300, "w", "w " * 300), ("", "", "a " * 16380 + "b c d e c")])
-    rows = {(r["id"], r["lexeme"]): r["positions"] for r in postings.build_postings(jobs, "simple").collect()}
+    rows = {(r["id"], r["lexeme"]): r["positions"] for r in postings.build_postings(jobs, "simple", limits=True).collect()}
     assert len(rows[0, "w"]) == 256
     assert [p["p"] for p in rows[0, "w"]][:3] == [1, 2, 3]
     assert rows[0, "w"][255]["p"] == 301 and rows[0, "w"][255]["w"] == 0.4
     assert len(rows[1, "a"]) == 255
     assert [p["p"] for p in rows[1, "c"]] == [16382, 16383]
     assert [p["p"] for p in rows[1, "d"]] == [16383]
-    scanned = search.search_ranked(jobs, "w", "simple").collect()
+    scanned = search.search_ranked(jobs, "w", "simple", limits=True).collect()
     assert abs(scanned[0]["rank"] - (255 * 1.0 + 0.4)) < 1e-3
+    # Without the limits, which no search sets by itself, the end of a long text is found too.
+    assert [r["id"] for r in search.search_ranked(jobs, '"e c"', "simple").collect()] == [1]
+    assert search.search_ranked(jobs, '"e c"', "simple", limits=True).collect() == []
+    free = search.search_ranked(jobs, '"e c"', "simple", postings.build_postings(jobs, "simple")).collect()
+    assert [r["id"] for r in free] == [1]
 
 
 def test_english_index(spark):
