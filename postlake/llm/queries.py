@@ -265,8 +265,8 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_toxicity")
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    known = toxicity.labelled(docs.where(~toxicity.held_out(F.col("doc_id"))), read(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    model = toxicity.train(cut_lineage(known, "toxicity-labels"))
+    known = docs.where(~toxicity.held_out(F.col("doc_id")))
+    model = toxicity.train(*toxicity.labelled(known, read(spark, sf_dir, "labels").select("doc_id", "toxic")))
     return toxicity.judge(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

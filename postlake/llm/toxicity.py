@@ -1,9 +1,9 @@
 """Toxicity: gradient-boosted trees over dense features of a text, calibrated by isotonic regression.
 
-The lexicon is counted over all labelled rows: words, and beginnings of words, by the number of toxic and of clean
-documents that hold them. A word counts only if it stands behind three different words in toxic documents, so that the
-words of one text with many copies don't pass for insults. The trees and the calibration are fitted on a bounded sample,
-in which a row's own share is taken out of the lexicon's counts.
+All is fitted on a bounded sample of labelled rows. The lexicon counts words, and beginnings of words, by the number of
+toxic and of clean documents that hold them. A word counts only if it stands behind three different words in toxic
+documents, so that the words of one text with many copies don't pass for insults. For the trees and the calibration a
+row's own share is taken out of the lexicon's counts.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.llm.common import slices, unfold, whole_row
+from postlake.session import cut_lineage
 
 #: Lengths of the beginnings of words that are counted beside whole words.
 STEMS = (4, 5, 6)
@@ -44,37 +45,34 @@ _NO_LETTER = re.compile(r"[\W\d_]+")
 _LONG_RUN = re.compile(r"(\w)\1{2,}")
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[i for i in range(33, 127) if not chr(i).isalnum()]] = True
-
-
-class Words:
-    """Words of a text: what each token is, remembered."""
-
-    def __init__(self):
-        self.known: dict[str, tuple[str, bool]] = {}
-
-    def __call__(self, text: str) -> list[tuple[str, bool]]:
-        """(word in lower case, whether it was disguised) of each token between blanks."""
-        known, out = self.known, []
-        if len(known) > HELD:
-            known.clear()
-        for token in text.split():
-            found = known.get(token)
-            if found is None:
-                found = known[token] = self._read(token)
-            out.append(found)
-        return out
-
-    @staticmethod
-    def _read(token: str) -> tuple[str, bool]:
-        core = _OUTER.sub("", token)
-        if core.isalpha():
-            return core.lower(), False
-        letters = sum(map(str.isalpha, core))
-        if letters < 2 or 2 * letters < len(core):
-            return core.lower(), False
-        # Signs inside, or at the end of, a word: "st*pid", "1d1ot", "s.c.u.m".
-        plain = _NO_LETTER.sub("", _LONG_RUN.sub(r"\1", token.lower().translate(SIGNS) if core != token else core.lower().translate(SIGNS)))
-        return plain, True
+_LETTER = np.zeros(256, bool)
+_LETTER[[i for i in range(128) if chr(i).isalpha()]] = True
+
+
+def read_token(token: str) -> tuple[str, bool]:
+    """The word in a token between blanks, in lower case, and whether signs inside it disguise it."""
+    core = _OUTER.sub("", token)
+    if core.isalpha():
+        return core.lower(), False
+    letters = sum(map(str.isalpha, core))
+    if letters < 2 or 2 * letters < len(core):
+        return core.lower(), False
+    # Signs that stand for letters, or part them: "st*pid", "1d1ot", "s.c.u.m".
+    return _NO_LETTER.sub("", _LONG_RUN.sub(r"\1", core.lower().translate(SIGNS))), True
+
+
+def words_of(text: str | None, known: dict[str, str]) -> list[str]:
+    """The words of a text in order; ``known`` remembers tokens."""
+    if len(known) > HELD:
+        known.clear()
+    out = []
+    for token in (text or "").split():
+        word = known.get(token)
+        if word is None:
+            word = known[token] = read_token(token)[0]
+        if word:
+            out.append(word)
+    return out
 
 
 def forms(word: str) -> list[str]:
@@ -122,60 +120,74 @@ class Lexicon:
 
 
 class Featurizer:
-    def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.words, self.remembered = lexicon, Words(), ({}, {}, {})
+    """Text to features. What a token is, is found once: most are plain words of no weight, and cost one look-up."""
 
-    def _weight(self, word: str, label: int | None) -> float:
-        held = self.remembered[2 if label is None else label]
-        found = held.get(word)
-        if found is None:
-            if len(held) > HELD:
-                held.clear()
-            found = held[word] = self.lexicon.score(word, label)
-        return found
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon = lexicon
+        self.codes: dict = {}
+        self.facts: list[tuple[str, float, bool, bool, bool]] = []
+
+    def _code(self, token: str, label: int | None) -> int:
+        """0 for a plain word, else the place of (word, weight, second person, disguised, shouted)."""
+        word, disguised = read_token(token)
+        weight = self.lexicon.score(word, label) if word else 0.0
+        fact = (word, weight, word in SECOND_PERSON, disguised, len(token) > 2 and token.isupper())
+        if not any(fact[1:]):
+            return 0
+        self.facts.append(fact)
+        return len(self.facts)
 
     def __call__(self, text: str | None, label: int | None = None) -> list[float]:
         text = text or ""
-        words = self.words(text)
-        n = max(1, len(words))
-        weights = [self._weight(w, label) if w else 0.0 for w, _ in words]
-        top = sorted((w for w in weights if w > 0), reverse=True)
-        strong = [i for i, w in enumerate(weights) if w >= 3]
-        second = [i for i, (w, _) in enumerate(words) if w in SECOND_PERSON]
+        tokens = text.split()
+        if len(self.codes) > HELD:
+            self.codes, self.facts = {}, []
+        codes = self.codes
+        found = []
+        for token in tokens:
+            code = codes.get((token, label) if label is not None else token)
+            if code is None:
+                code = codes[(token, label) if label is not None else token] = self._code(token, label)
+            found.append(code)
+        n = max(1, len(tokens))
+        at = np.flatnonzero(found)
+        facts = [self.facts[found[i] - 1] for i in at]
+        weights = np.array([f[1] for f in facts])
+        top = np.sort(weights)[::-1]
+        is_strong = weights >= 3
+        strong, second = at[is_strong], at[np.array([f[2] for f in facts], bool)]
         aimed = 0
-        if strong and second:
-            places = np.array(second)
-            at = np.searchsorted(places, strong)
-            before = np.array(strong) - places[np.maximum(at - 1, 0)]
-            after = places[np.minimum(at, len(places) - 1)] - np.array(strong)
-            aimed = int(((np.abs(before) <= NEAR) | (np.abs(after) <= NEAR)).sum())
+        if len(strong) and len(second):
+            place = np.searchsorted(second, strong)
+            before, after = second[np.maximum(place - 1, 0)], second[np.minimum(place, len(second) - 1)]
+            aimed = int(((np.abs(strong - before) <= NEAR) | (np.abs(strong - after) <= NEAR)).sum())
+        disguised = np.array([f[3] for f in facts], bool)
         raw = np.frombuffer(text.encode(), np.uint8)
         signs = np.bincount(raw, minlength=256)
         mark = _PUNCTUATION[raw]
-        repeated = int((mark[1:] & (raw[1:] == raw[:-1])).sum())
+        same = raw[1:] == raw[:-1]
+        thrice = same[1:] & same[:-1] & _LETTER[raw[2:]]
         upper, lower = int(signs[65:91].sum()), int(signs[97:123].sum())
-        disguised = [i for i, (_, d) in enumerate(words) if d]
-        shouted = sum(1 for t in text.split() if len(t) > 2 and t.isupper()) if upper else 0
         return [
-            float(np.log1p(len(words))),
-            sum(weights) / n,
-            top[0] if top else 0.0,
-            top[2] if len(top) > 2 else 0.0,
-            float(np.log1p(sum(1 for w in top if w >= 1))),
+            float(np.log1p(len(tokens))),
+            float(weights.sum()) / n,
+            float(top[0]) if len(top) else 0.0,
+            float(top[2]) if len(top) > 2 else 0.0,
+            float(np.log1p((weights >= 1).sum())),
             float(np.log1p(len(strong))),
             len(strong) / n,
-            float(len({words[i][0] for i in strong})),
+            float(len({f[0] for f, s in zip(facts, is_strong, strict=True) if s})),
             float(aimed),
             len(second) / n,
             upper / max(1, upper + lower),
-            shouted / n,
+            sum(f[4] for f in facts) / n,
             signs[33] / n,
             signs[63] / n,
             int(signs[_PUNCTUATION].sum()) / max(1, len(raw)),
-            repeated / n,
-            len(disguised) / n,
-            float(sum(1 for i in disguised if weights[i] >= 3)),
-            len(_LONG_RUN.findall(text)) / n,
+            int((mark[1:] & same).sum()) / n,
+            int(disguised.sum()) / n,
+            float((disguised & is_strong).sum()),
+            int((thrice[1:] & ~thrice[:-1]).sum() + (len(thrice) > 0 and thrice[0])) / n,
             int(signs[48:58].sum()) / max(1, len(raw)),
             len(raw) / n,
         ]
@@ -280,26 +292,26 @@ class ToxicityModel:
 
 def _toxic_words(batches):
     """(word, context, n): documents by word, and up to CONTEXTS hashes of the word before it."""
-    words, held = Words(), {}
+    known, held = {}, {}
 
     def rows():
         out = [(w, c, n if k == 0 else 0) for w, (n, cs) in held.items() for k, c in enumerate(sorted(cs))]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)], ["word", "context", "n"])
+        columns = zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["word", "context", "n"])
 
     for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             last, seen = "", set()
-            for word, _ in words(text or ""):
-                if word:
-                    context = zlib.crc32(last.encode()) & 0x7FFFFFFF
-                    for form in forms(word):
-                        entry = held.setdefault(form, [0, set()])
-                        if form not in seen:
-                            seen.add(form)
-                            entry[0] += 1
-                        if len(entry[1]) < CONTEXTS:
-                            entry[1].add(context)
+            for word in words_of(text, known):
+                context = zlib.crc32(last.encode()) & 0x7FFFFFFF
+                for form in forms(word):
+                    entry = held.setdefault(form, [0, set()])
+                    if form not in seen:
+                        seen.add(form)
+                        entry[0] += 1
+                    if len(entry[1]) < CONTEXTS:
+                        entry[1].add(context)
                 last = word
         if len(held) > HELD:
             yield rows()
@@ -309,63 +321,67 @@ def _toxic_words(batches):
 
 def _count_words(chosen: frozenset):
     def count(batches):
-        words, held = Words(), Counter()
+        known, held = {}, Counter()
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                distinct = {w for w, _ in words(text or "") if w}
-                held.update({f for w in distinct for f in forms(w) if f in chosen})
+                held.update({f for w in set(words_of(text, known)) for f in forms(w) if f in chosen})
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     return count
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(key, text, toxic): rows of ``docs`` that ``labels`` judges; toxic if one of several labels of an id says so.
+def labelled(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> tuple[DataFrame, dict[int, int]]:
+    """(key, toxic, text) of ``max_rows`` judged rows at most, written, and how many rows of each kind there are.
 
-    Rows of equal id and text are one, so copies of a row don't count twice.
+    A row is toxic if one of several labels of its id says so. Rows of equal id and text are one, so copies of a row don't
+    count twice. A third of the sample is toxic where there are as many; rows are chosen by the hash ``key`` of id and
+    text. Labels meet hashes of rows; only the sample's texts are moved, found by its keys, which go to all tasks.
     """
     judged = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     judged = judged.groupBy(F.col(f"`{id_col}`").alias("judged")).agg(F.max((F.col(f"`{label_col}`").cast("int") != 0).cast("int")).alias("toxic"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    rows = rows.join(judged, F.col("id") == F.col("judged")).select(F.xxhash64("id", "text").alias("key"), "text", "toxic")
-    return rows.groupBy("key", "toxic").agg(F.min("text").alias("text"))
-
-
-def train(rows: DataFrame, max_rows: int = 6000, max_words: int = 5000, max_candidates: int = 50_000) -> ToxicityModel | None:
-    """Fit on ``rows`` (key, text, toxic), as :func:`labelled` gives them, written; None without rows of both kinds.
-
-    Word counts cover all rows. The ``max_candidates`` words of most toxic documents are counted in clean ones as well, and
-    the ``max_words`` of most evidence kept. The trees see ``max_rows`` rows at most, by the hash ``key``, a third of them
-    toxic where there are as many, with weights that restore the shares; every fifth is held back for the calibration.
-    The driver gets those counts and the features of those rows.
+    rows = rows.select("id", F.xxhash64("id", "text").alias("key"), "text")
+    keys = rows.select("id", "key").join(judged, F.col("id") == F.col("judged")).groupBy("key").agg(F.max("toxic").alias("toxic"))
+    keys = cut_lineage(keys, "judged-keys")
+    number = {0: 0, 1: 0} | {r.toxic: r.n for r in keys.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = {1: min(number[1], max(max_rows // 3, max_rows - number[0]))}
+    most[0] = min(number[0], max_rows - most[1])
+    some = [keys.where(F.col("toxic") == kind).orderBy("key").limit(n) for kind, n in most.items()]
+    chosen = cut_lineage(some[0].unionByName(some[1]), "chosen-keys")
+    # max_rows keys at most, of 12 bytes.
+    texts = rows.select("key", "text").join(F.broadcast(chosen), "key").groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    return cut_lineage(texts, "toxicity-sample"), number
+
+
+def train(sample: DataFrame, number: dict[int, int], max_words: int = 5000, max_candidates: int = 50_000) -> ToxicityModel | None:
+    """Fit on what :func:`labelled` gives; None without rows of both kinds.
+
+    Words are counted over the whole sample: the ``max_candidates`` words of most toxic documents in clean ones as well,
+    of which the ``max_words`` of most evidence are kept. The trees see the features of the sample, with weights that
+    restore the shares of ``number``; every fifth row is held back for the calibration. The driver gets those counts and
+    features.
     """
-    number = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not number.get(0) or not number.get(1):
         return None
-    found = rows.where("toxic = 1").select("text").mapInArrow(_toxic_words, "word string, context int, n long")
+    found = sample.where("toxic = 1").select("text").mapInArrow(_toxic_words, "word string, context int, n long")
     found = found.groupBy("word", "context").agg(F.sum("n").alias("n")).groupBy("word").agg(F.sum("n").alias("t"), F.count("*").alias("contexts"))
     found = found.where((F.col("contexts") >= CONTEXTS) & (F.col("t") >= 2)).orderBy(F.desc("t"), "word").limit(max_candidates)
     toxic = {r.word: r.t for r in found.collect()}
     counter = _count_words(frozenset(toxic))
-    seen = rows.where("toxic = 0").select("text").mapInArrow(counter, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    seen = sample.where("toxic = 0").select("text").mapInArrow(counter, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     clean = {r.word: r.n for r in seen.collect()}  # no more than the candidates
-    lexicon = Lexicon({}, number[1], number[0])
-    evidence = {w: t * lexicon.weight(t, clean.get(w, 0)) for w, t in toxic.items()}
-    best = sorted((w for w in evidence if lexicon.weight(toxic[w], clean.get(w, 0)) > 0.7), key=lambda w: (-evidence[w], w))[:max_words]
+    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    lexicon = Lexicon({}, size[1], size[0])
+    weights = {w: lexicon.weight(t, clean.get(w, 0)) for w, t in toxic.items()}
+    best = sorted((w for w in weights if weights[w] > 0.7), key=lambda w: (-weights[w] * toxic[w], w))[:max_words]
     lexicon.counts = {w: (toxic[w], clean.get(w, 0)) for w in best}
-    share = {1: min(number[1], max(max_rows // 3, max_rows - number[0]))}
-    share[0] = min(number[0], max_rows - share[1])
-    parts = []
-    for kind, most in share.items():
-        own = rows.where(F.col("toxic") == kind)
-        last = own.select("key").orderBy("key").limit(most).agg(F.max("key")).first()[0]
-        parts.append(own.where(F.col("key") <= last))
-    schema = "key long, toxic int, x array<double>"
-    sample = parts[0].unionByName(parts[1]).select("key", "toxic", "text").mapInArrow(_featurize(lexicon), schema).collect()
-    sample.sort(key=lambda r: (r.key, r.toxic))
-    x, y = np.array([r.x for r in sample]), np.array([r.toxic for r in sample], float)
-    weight = np.where(y == 1, number[1] / max(1, y.sum()), number[0] / max(1, (1 - y).sum()))
+    rows = sample.select("key", "toxic", "text").mapInArrow(_featurize(lexicon), "key long, toxic int, x array<double>").collect()
+    rows.sort(key=lambda r: (r.key, r.toxic))
+    x, y = np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float)
+    weight = np.where(y == 1, number[1] / y.sum(), number[0] / (1 - y).sum())
     back = np.zeros(len(y), bool)
     for kind in (0, 1):
         back[np.flatnonzero(y == kind)[4::5]] = True

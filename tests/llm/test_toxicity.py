@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlake.llm import queries, toxicity
-from postlake.llm.toxicity import Featurizer, Lexicon, Words, fit_trees, forms, isotonic, judge, labelled, train
+from postlake.llm.toxicity import Featurizer, Lexicon, fit_trees, forms, isotonic, judge, labelled, read_token, train, words_of
 
 INSULTS = ["grolbix", "snarfo", "wretchulent", "blarg"]
 
@@ -41,7 +41,7 @@ def tables(spark):
 @pytest.fixture(scope="module")
 def model(tables):
     docs, labels, _ = tables
-    return train(labelled(docs.where(~toxicity.held_out(F.col("doc_id"))), labels))
+    return train(*labelled(docs.where(~toxicity.held_out(F.col("doc_id"))), labels))
 
 
 def test_held_out_rows(spark, tables, model):
@@ -57,13 +57,11 @@ def test_held_out_rows(spark, tables, model):
 
 def test_counts_are_those_of_brute_force(spark, tables):
     docs, labels, toxic = tables
-    rows = labelled(docs, labels)
-    got = train(rows).lexicon
+    got = train(*labelled(docs, labels)).lexicon
     texts = {r.doc_id: r.text for r in docs.collect()}
     known = {r.doc_id: r.toxic for r in labels.collect()}
     assert (got.toxic, got.clean) == (sum(known.values()), len(known) - sum(known.values()))
-    reader = Words()
-    sets = {i: {f for w, _ in reader(texts[i]) for f in forms(w)} for i in known}
+    sets = {i: {f for w in words_of(texts[i], {}) for f in forms(w)} for i in known}
     assert {"snarfo", "snar*", "grolbix"} <= set(got.counts)
     for word, (t, c) in got.counts.items():
         assert (t, c) == (sum(word in sets[i] for i in known if known[i]), sum(word in sets[i] for i in known if not known[i]))
@@ -75,7 +73,7 @@ def test_words_of_one_copied_text_are_no_insults(spark):
     extra = list(range(10_000, 10_040))
     docs = spark.createDataFrame([*docs, *[(i, f"{text} {i}") for i in extra]], "doc_id long, text string")
     labels = spark.createDataFrame([*labels, *[(i, 1, 1) for i in extra]], "doc_id long, quality int, toxic int")
-    counts = train(labelled(docs, labels)).lexicon.counts
+    counts = train(*labelled(docs, labels)).lexicon.counts
     assert "zyxwords" not in counts and "snarfo" in counts
 
 
@@ -94,24 +92,26 @@ def test_odd_rows(spark, make_docs, odd_rows, model):
 def test_labels_that_repeat_clash_or_lack(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None), (3, "c"), (None, "d"), (4, "e")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1), (2, None)], "doc_id long, toxic int")
-    assert sorted((r.text, r.toxic) for r in labelled(docs, labels).collect()) == [("", 0), ("a", 1), ("b", 1)]
-    assert train(labelled(docs, labels.where("toxic = 0"))) is None
-    assert train(labelled(docs.limit(0), labels)) is None
+    sample, number = labelled(docs, labels)
+    assert sorted((r.text, r.toxic) for r in sample.collect()) == [("", 0), ("a", 1), ("b", 1)] and number == {0: 1, 1: 2}
+    assert train(*labelled(docs, labels.where("toxic = 0"))) is None
+    assert train(*labelled(docs.limit(0), labels)) is None
 
 
-def test_the_sample_is_bounded(spark, tables, monkeypatch):
+def test_the_sample_is_bounded(spark, tables):
+    """Whatever the number of labelled rows, and of copies of one row."""
     docs, labels, _ = tables
-    seen = []
-    fit = toxicity.fit_trees
-    monkeypatch.setattr(toxicity, "fit_trees", lambda x, y, w: seen.append(len(y)) or fit(x, y, w))
-    train(labelled(docs, labels), max_rows=60)
-    assert seen[0] <= 60
+    many = docs.unionByName(docs.where("doc_id = 10").join(spark.range(500).select(), how="cross"))
+    sample, number = labelled(many, labels, max_rows=60)
+    assert sample.count() == 60 and sample.where("toxic = 1").count() == 20
+    assert number[0] + number[1] == labels.select("doc_id").distinct().count()
+    assert train(sample, number).lexicon.toxic == 20
 
 
 def test_words_and_disguise():
-    words = Words()
-    assert [w for w, _ in words("Stupid, st*pid 1d1ot s.c.u.m x2 42 -- THE&&&")] == ["stupid", "stpid", "idiot", "scum", "x2", "42", "", "the"]
-    assert [d for _, d in words("plain 1d1ot s.c.u.m (well)")] == [False, True, True, False]
+    found = ["stupid", "stpid", "idiot", "scum", "x2", "42", "the"]
+    assert words_of("Stupid, st*pid 1d1ot s.c.u.m x2 42 -- THE&&&", {}) == found
+    assert [read_token(t)[1] for t in ("plain", "1d1ot", "s.c.u.m", "(well)")] == [False, True, True, False]
     lexicon = Lexicon({"idiot": (40, 0), "lowe*": (9, 0), "the": (30, 300)}, 50, 500)
     features = Featurizer(lexicon)
     at = dict(zip(toxicity.FEATURES, features("you 1d1ot LOWELY the " + "word " * 30), strict=True))
