@@ -8,6 +8,7 @@ row's own share is taken out of the lexicon's counts.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -26,8 +27,8 @@ from postlake.session import cut_lineage
 STEMS = (4, 5, 6)
 #: Different words before it, from which on a word can enter the lexicon.
 CONTEXTS = 3
-#: Words and beginnings that a task holds counts of; they are sent on when there are more.
-HELD = 200_000
+#: Tokens that a task remembers, and words it holds counts of, before it lets them go or sends them on.
+HELD = 400_000
 #: Standard deviations by which the counts of a word are bent.
 BENT = 1.5
 #: Distance in words at which an insult counts as aimed at the reader.
@@ -51,7 +52,7 @@ _LETTER[[i for i in range(128) if chr(i).isalpha()]] = True
 
 def read_token(token: str) -> tuple[str, bool]:
     """The word in a token between blanks, in lower case, and whether signs inside it disguise it."""
-    core = _OUTER.sub("", token)
+    core = token if token.isalpha() else _OUTER.sub("", token)
     if core.isalpha():
         return core.lower(), False
     letters = sum(map(str.isalpha, core))
@@ -97,6 +98,11 @@ class Lexicon:
     clean: int
     _weights: dict = field(default_factory=dict, repr=False)
 
+    @functools.cached_property
+    def heads(self) -> frozenset[str]:
+        """How the words begin; most words begin otherwise."""
+        return frozenset(w[: min(STEMS)] for w in self.counts)
+
     def weight(self, toxic: int, clean: int) -> float:
         """Log odds ratio of the shares, each bent towards the other by its uncertainty; 0 below two toxic documents."""
         key = (toxic, clean)
@@ -109,6 +115,8 @@ class Lexicon:
     def score(self, word: str, label: int | None = None) -> float:
         """Weight of a word: its own, or that of a beginning. ``label``: of the document it comes from, left out."""
         best = 0.0
+        if word[: min(STEMS)] not in self.heads:
+            return best
         for form in forms(word):
             found = self.counts.get(form)
             if found is not None:
@@ -124,7 +132,7 @@ class Featurizer:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
-        self.codes: dict = {}
+        self.codes: dict[int | None, dict[str, int]] = {None: {}, 0: {}, 1: {}}
         self.facts: list[tuple[str, float, bool, bool, bool]] = []
 
     def _code(self, token: str, label: int | None) -> int:
@@ -140,15 +148,12 @@ class Featurizer:
     def __call__(self, text: str | None, label: int | None = None) -> list[float]:
         text = text or ""
         tokens = text.split()
-        if len(self.codes) > HELD:
-            self.codes, self.facts = {}, []
-        codes = self.codes
-        found = []
-        for token in tokens:
-            code = codes.get((token, label) if label is not None else token)
-            if code is None:
-                code = codes[(token, label) if label is not None else token] = self._code(token, label)
-            found.append(code)
+        if sum(map(len, self.codes.values())) > HELD:
+            self.codes, self.facts = {None: {}, 0: {}, 1: {}}, []
+        codes = self.codes[label]
+        for token in set(tokens).difference(codes):
+            codes[token] = self._code(token, label)
+        found = [codes[token] for token in tokens]
         n = max(1, len(tokens))
         at = np.flatnonzero(found)
         facts = [self.facts[found[i] - 1] for i in at]
