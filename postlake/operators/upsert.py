@@ -11,8 +11,10 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlake.functions.scalars import content_hash, ntz, valid_details
+from postlake.operators.ids import number_in_order
 
 WRITTEN = ["external_id", "company_name", "url", "title", "location", "description"]
 
@@ -62,9 +64,10 @@ def first_per_key(batch: DataFrame, *order: str) -> DataFrame:
     return batch.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
-def _incoming_columns(stored: DataFrame, now: Column) -> list[Column]:
+def incoming_columns(schema: T.StructType, now: Column) -> list[Column]:
+    """The columns of a new posting; what a batch doesn't bring is null."""
     out = []
-    for field in stored.schema.fields:
+    for field in schema.fields:
         name = field.name
         if name in WRITTEN:
             out.append(F.col(name))
@@ -83,7 +86,9 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: dt.datetime | Column) ->
     anti join for the new rows. Unlike a full outer join, both can broadcast
     the small side when its measured size allows it, so a small batch moves no
     stored row. The stored side of the anti join reads the key column alone.
-    New rows have a null ``id`` until :func:`postlake.operators.ids.assign_ids`.
+    If there is an ``id``, new rows get those behind the greatest stored one, in
+    order of ``external_id``; for a table that is written again and again,
+    :class:`postlake.operators.store.PostingStore` keeps the greatest.
     """
     now = ntz(now) if isinstance(now, dt.datetime) else now
     incoming = first_per_key(incoming, *(["seq"] if "seq" in incoming.columns else ["url", "title"]))
@@ -98,7 +103,11 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: dt.datetime | Column) ->
         ]
     )
     new = incoming.join(stored.select("external_id"), "external_id", "left_anti")
-    return kept.unionByName(new.select(*_incoming_columns(stored, now)))
+    new = new.select(*incoming_columns(stored.schema, now))
+    if "id" in stored.columns:
+        high = stored.agg(F.max("id")).first()[0] or 0
+        new, _ = number_in_order(new, "external_id", high + 1)
+    return kept.unionByName(new)
 
 
 def upsert_keys(stored: DataFrame, incoming: DataFrame) -> DataFrame:

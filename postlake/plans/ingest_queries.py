@@ -407,9 +407,12 @@ def sink_results_log(spark, d):
 S = with_(JOBS, STORED)
 
 
-@query("valid_details", S + "SELECT external_id, title <> '' AND url <> '' AND company_name <> '' AND external_id <> '' AS valid FROM incoming")
+@query("valid_details", with_(JOBS) + """SELECT external_id, CASE WHEN id % 9 = 0 THEN '' ELSE title END <> '' AND url <> ''
+  AND company_name <> '' AND external_id <> '' AS valid FROM jobs""")
 def valid_details(spark, d):
-    return views.stored_and_incoming(spark, d)[1].select("external_id", scalars.valid_details().alias("valid"))
+    """Every posting; every ninth has lost its title."""
+    title = F.when(F.col("id") % 9 == 0, "").otherwise(F.col("title"))
+    return views.jobs(spark, d).withColumn("title", title).select("external_id", scalars.valid_details().alias("valid"))
 
 
 @query("join_upsert", S + """SELECT coalesce(s.external_id, i.external_id) AS external_id,
@@ -423,7 +426,8 @@ UPSERT_SQL = S + """SELECT s.id, s.external_id, s.company_name, s.url, s.title,
   CASE WHEN i.external_id IS NOT NULL THEN TIMESTAMP '2025-01-01' ELSE s.last_seen_at END AS last_seen_at, s.expired_at
 FROM stored s LEFT JOIN incoming i ON s.external_id = i.external_id
 UNION ALL
-SELECT NULL, external_id, company_name, url, title, location, description, TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01', NULL
+SELECT (SELECT max(id) FROM stored) + row_number() OVER (ORDER BY external_id), external_id, company_name, url, title, location,
+  description, TIMESTAMP '2025-01-01', TIMESTAMP '2025-01-01', NULL
 FROM incoming WHERE external_id NOT IN (SELECT external_id FROM stored)"""
 
 

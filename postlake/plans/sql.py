@@ -33,10 +33,10 @@ ATTEMPTS = """attempts AS (
   FROM events)"""
 
 STORED = """stored AS (
-  SELECT * FROM jobs WHERE location = 'en' OR id IN (SELECT doc_id + 1 FROM labels)),
+  SELECT * FROM jobs WHERE location IN ('en', 'fr') OR id IN (SELECT doc_id + 1 FROM labels)),
 incoming AS (
   SELECT id AS seq, external_id, company_name, url, 'NEW ' || title AS title, location, description
-  FROM jobs WHERE location <> 'fr')"""
+  FROM jobs WHERE location IS DISTINCT FROM 'fr')"""
 
 LIGHT = "id, company_name, title, location, first_seen_at"
 

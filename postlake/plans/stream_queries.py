@@ -21,9 +21,21 @@ def _source(spark, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _stream_refs(spark, d):
+def _in_batches(spark, d: str, name: str, key: str, batches: int = 4) -> DataFrame:
+    """One of the given tables as a stream that lands in several files, one a micro-batch, in order of ``key``."""
+    rows, folder = views.table(spark, d, name), scratch_path(spark, f"landed-{name}")
+    low, high = rows.select(F.expr(key).alias("k")).agg(F.coalesce(F.min("k"), F.lit(0)), F.coalesce(F.max("k"), F.lit(0))).first()
+    step = (high - low) // batches + 1
+    for n in range(batches):
+        part = rows.where(F.expr(key).between(low + n * step, low + (n + 1) * step - 1))
+        part.write.mode("append").parquet(f"{folder}/{n}")
+    files = max(1, len(spark.read.schema(rows.schema).parquet(f"{folder}/*").inputFiles()) // batches)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
+
+
+def _stream_refs(spark, d, rows=None):
     host = F.regexp_extract("url", r"https?://([^/?#]+)", 1)
-    return _source(spark, d, "pages").select(
+    return (rows if rows is not None else _source(spark, d, "pages")).select(
         F.col("page_id").alias("seq"),
         host.alias("source_key"),
         F.regexp_extract("url", "/[a-z]{2}/([0-9]+)", 1).alias("external_id"),
@@ -57,14 +69,16 @@ def stream_dedup(spark, d):
 
 @query("stream_label", with_(REFS) + f"SELECT *, {FIRST} FROM refs")
 def stream_label(spark, d):
+    """In several micro-batches; the ids seen are keyed state."""
     labels = streams.Labels(spark, scratch_path(spark, "stream-label"))
-    _drain(_stream_refs(spark, d), labels)
+    _drain(_stream_refs(spark, d, _in_batches(spark, d, "pages", "page_id")), labels)
     return labels.result()
 
 
 @query("stream_dedup_ttl", TTL_SQL)
 def stream_dedup_ttl(spark, d):
-    rows = _source(spark, d, "events").select(
+    """In several micro-batches, in order of time; an id's last acceptance is keyed state with a timer."""
+    rows = _in_batches(spark, d, "events", "unix_micros(CAST(ts AS TIMESTAMP))").select(
         F.col("event_id").alias("seq"),
         F.col("user_id").cast("string").alias("external_id"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
@@ -74,10 +88,20 @@ def stream_dedup_ttl(spark, d):
     return labels.result().select("seq", "external_id", "is_duplicate")
 
 
-@query("stream_upsert", UPSERT_SQL)
+# New ids go by batch: quarters of the range of doc_id.
+STREAM_UPSERT_SQL = UPSERT_SQL.replace(
+    "OVER (ORDER BY external_id)",
+    """OVER (ORDER BY (seq - 1 - (SELECT min(doc_id) FROM documents)) // (SELECT (max(doc_id) - min(doc_id)) // 4 + 1 FROM documents),
+    external_id)""",
+)
+
+
+@query("stream_upsert", STREAM_UPSERT_SQL)
 def stream_upsert(spark, d):
-    stored, incoming = views.stored_and_incoming(spark, d, docs=_source(spark, d, "documents"))
-    sink = streams.Upserts(spark, scratch_path(spark, "stream-upsert"), stored, lambda n: dt.datetime(2025, 1, 1))
+    """In several micro-batches, each of which writes its own rows and marks."""
+    docs = _in_batches(spark, d, "documents", "doc_id")
+    stored, incoming = views.stored_and_incoming(spark, d, docs=docs)
+    sink = streams.Upserts(spark, scratch_path(spark, "stream-upsert"), stored, lambda n: dt.datetime(2025, 1, 1), buckets=8)
     _drain(incoming, sink)
     return sink.result()
 

@@ -110,12 +110,14 @@ def scrapers(spark: SparkSession, title: str = "article > h1") -> DataFrame:
 
 
 def stored_and_incoming(spark: SparkSession, d: str, docs: DataFrame | None = None):
-    """A stored table and a batch that overlap: labelled or English postings are
-    stored; the batch has new titles for all but the French ones."""
+    """A stored table and a batch that overlap, and hold every posting between
+    them: labelled, English and French ones are stored, and the batch has new
+    titles for all that are not French."""
     labelled = table(spark, d, "labels").select((F.col("doc_id") + 1).alias("id"), F.lit(True).alias("has"))
     all_jobs = jobs(spark, d).join(labelled, "id", "left")
-    stored = all_jobs.where(F.col("has").isNotNull() | (F.col("location") == "en")).drop("has")
-    batch = jobs(spark, d, docs=docs).where("location != 'fr'")
+    is_french = F.col("location").eqNullSafe("fr")
+    stored = all_jobs.where(F.col("has").isNotNull() | F.col("location").eqNullSafe("en") | is_french).drop("has")
+    batch = jobs(spark, d, docs=docs).where(~is_french)
     incoming = batch.select(
         F.col("id").alias("seq"),
         "external_id",

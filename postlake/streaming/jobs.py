@@ -1,8 +1,7 @@
 """The continuous path: references in, labels, postings and counters out.
 
-State lives in the state store where Spark has an operator for it, and in
-tables written per micro-batch where it does not. Those tables are named after
-the batch number, so a batch that is run again replaces what it wrote.
+What is known of an id lives in the state store. What a micro-batch writes is
+named after its number, so a batch that is run again replaces it.
 """
 
 from __future__ import annotations
@@ -12,12 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from postlake.functions.scalars import non_empty, ntz
-from postlake.operators.dedup import first_arrivals, label_against, label_first
-from postlake.operators.dedup_ttl import STATE, accept_with_ttl
-from postlake.operators.upsert import first_per_key, upsert
+from postlake.functions.scalars import non_empty
+from postlake.operators.dedup import first_arrivals
+from postlake.operators.store import BUCKETS, PostingStore
+from postlake.operators.versions import Versions
+from postlake.streaming.ttl_state import ROCKSDB, TtlState
 
 SALTS = 8
 
@@ -31,12 +32,25 @@ def start(
     output_mode: str = "append",
 ) -> StreamingQuery:
     """Start a query at once and then ``every`` interval; with none given, run
-    through what is there and stop."""
+    through what is there and stop.
+
+    :class:`Labels` and its kin add their own stateful part to the stream.
+    """
+    settings: dict[str, str] = {}
+    if isinstance(each_batch, Labels):
+        stream, settings = each_batch.marked(stream), each_batch.settings
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(output_mode)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    if each_batch is not None:
-        return writer.foreachBatch(each_batch).start()
-    return writer.format("parquet").option("path", out).start()
+    writer = writer.foreachBatch(each_batch) if each_batch is not None else writer.format("parquet").option("path", out)
+    conf = stream.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings}
+    try:  # a query keeps the settings that it is started with
+        for key, value in settings.items():
+            conf.set(key, value)
+        return writer.start()
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
 
 
 def _dedup_key() -> Column:
@@ -77,82 +91,104 @@ def stream_status_counts(results: DataFrame) -> DataFrame:
 class Labels:
     """Label each reference as first or duplicate without dropping any.
 
-    Ids seen by earlier batches are read from this job's own table. Only ids of
-    the batch at hand are looked up, and a hot id enters the lookup once.
+    Which ids are known is keyed state of the stream: beside the rows themselves
+    a stateful branch lets the rows of new ids through, and a batch is labelled
+    by joining the two. No batch reads what earlier ones wrote. A batch that is
+    run again finds the state it started from, and replaces its labels.
     """
 
+    settings: dict[str, str] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _seen_before(self, batch: DataFrame, number: int) -> DataFrame | None:
-        if number == 0:
-            return None
-        seen = self.spark.read.schema("external_id string, batch bigint").parquet(f"{self.root}/seen")
-        ids = first_arrivals(batch).select("external_id")
-        return seen.where(F.col("batch") < number).join(ids, "external_id", "left_semi")
+    def marks(self, refs: DataFrame) -> DataFrame:
+        """``(external_id, seq)`` of a row of each id that no earlier batch had."""
+        return stream_dedup(refs.where(non_empty("external_id"))).select("external_id", "seq")
+
+    def marked(self, refs: DataFrame) -> DataFrame:
+        """The stream of the rows and, beside them, of the marks."""
+        rows = refs.select(F.struct(*refs.columns).alias("row"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("bigint").alias("at"))
+        empty = F.lit(None).cast(rows.schema["row"].dataType).alias("row")
+        return rows.unionByName(self.marks(refs).select(empty, F.col("external_id").alias("id"), F.col("seq").cast("bigint").alias("at")))
+
+    def firsts(self, rows: DataFrame, marks: DataFrame) -> DataFrame:
+        """``(external_id, seq)`` of the batch's rows that are no duplicates: of a new id, its earliest."""
+        return first_arrivals(rows).join(marks.select(F.col("id").alias("external_id")), "external_id", "left_semi")
+
+    def may_repeat(self) -> Column:
+        """Whether a row can be a duplicate at all."""
+        return non_empty("external_id")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        seen = self._seen_before(batch, number)
-        labelled = label_first(batch) if seen is None else label_against(batch, seen)
+        path = f"{self.root}/landed/batch={number}"
+        # One pass through the stream's state; the labels are made from what it wrote.
+        batch.withColumn("is_mark", F.col("row").isNull()).write.mode("overwrite").partitionBy("is_mark").parquet(path)
+        landed = self.spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("is_mark", T.BooleanType())])).parquet(path)
+        rows = landed.where("NOT is_mark").select("row.*")
+        first = self.firsts(rows, landed.where("is_mark").select("id", "at")).select(
+            F.col("external_id").alias("id"), F.col("seq").alias("at"), F.lit(True).alias("is_first")
+        )
+        joined = rows.join(first, (F.col("external_id") == F.col("id")) & (F.col("seq") == F.col("at")), "left")
+        flag = self.may_repeat() & F.col("is_first").isNull()
+        labelled = joined.select(*rows.columns, flag.alias("is_duplicate"))
         labelled.write.mode("overwrite").parquet(f"{self.root}/labels/batch={number}")
-        written = self.spark.read.schema(labelled.schema).parquet(f"{self.root}/labels/batch={number}")
-        new = written.where(~F.col("is_duplicate") & non_empty("external_id")).select("external_id")
-        new.write.mode("overwrite").parquet(f"{self.root}/seen/batch={number}")
+        Versions(self.spark, self.root).drop(f"landed/batch={number}")
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/labels").drop("batch")
 
 
-class TtlLabels:
+class TtlLabels(Labels):
     """As :class:`Labels`, but an id counts as seen for ``ttl`` after it was
-    accepted, and not for ever. Needs the event time ``ts``."""
+    accepted, and not for ever. Needs the event time ``ts``.
 
-    def __init__(self, spark: SparkSession, root: str, ttl: dt.timedelta = dt.timedelta(hours=24)):
-        self.spark, self.root, self.ttl = spark, root, ttl
+    Each id's state is when it was last accepted; a timer drops it once the
+    watermark, ``late`` behind the newest row, has passed the end of ``ttl``.
+    Rows that come later than that are labelled as duplicates; rows without a
+    time pass, and bar nothing.
+    """
 
-    def __call__(self, batch: DataFrame, number: int) -> None:
-        before = None
-        if number > 0:
-            before = self.spark.read.schema(STATE).parquet(f"{self.root}/state-{number - 1}")
-        labelled, state = accept_with_ttl(batch, before, self.ttl)
-        labelled.write.mode("overwrite").parquet(f"{self.root}/labels/batch={number}")
-        state.write.mode("overwrite").parquet(f"{self.root}/state-{number}")
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
 
-    def result(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/labels").drop("batch")
+    def __init__(self, spark: SparkSession, root: str, ttl: dt.timedelta = dt.timedelta(hours=24), late: str = "1 hour"):
+        super().__init__(spark, root)
+        self.ttl, self.late = ttl, late
+
+    def marks(self, refs: DataFrame) -> DataFrame:
+        rows = refs.where(non_empty("external_id") & F.col("ts").isNotNull())
+        time = F.col("ts").cast("timestamp")
+        rows = rows.select("external_id", F.col("seq").cast("bigint").alias("seq"), F.unix_micros(time).alias("us"), time.alias("event_time"))
+        keyed = rows.withWatermark("event_time", self.late).groupBy("external_id")
+        schema = "external_id string, seq bigint"
+        return keyed.transformWithStateInPandas(TtlState(self.ttl // dt.timedelta(microseconds=1)), schema, "Append", "EventTime")
+
+    def firsts(self, rows: DataFrame, marks: DataFrame) -> DataFrame:
+        return marks.select(F.col("id").alias("external_id"), F.col("at").alias("seq"))
+
+    def may_repeat(self) -> Column:
+        return non_empty("external_id") & F.col("ts").isNotNull()
 
 
 class Upserts:
-    """Upsert each batch of postings into the next snapshot.
+    """Upsert each batch of postings into a :class:`PostingStore` below ``root``.
 
-    Batch n reads snapshot n-1 and writes snapshot n. Running it again writes
-    the same snapshot again; ``now`` is therefore a function of the batch.
+    A batch writes its own rows and marks. It is named by its number, so one
+    that is run again changes nothing; ``now`` is a function of the number. The
+    marks are merged into the rows every ``merge_every`` batches.
     """
 
-    def __init__(self, spark: SparkSession, root: str, first: DataFrame, now: Callable[[int], dt.datetime]):
-        self.spark, self.root, self.first, self.now = spark, root, first, now
-        self.last = -1
-
-    def path(self, number: int) -> str:
-        return f"{self.root}/snapshot-{number:08d}"
+    def __init__(
+        self, spark: SparkSession, root: str, first: DataFrame, now: Callable[[int], dt.datetime], merge_every: int = 50, buckets: int = BUCKETS
+    ):
+        self.now, self.merge_every = now, merge_every
+        self.store = PostingStore.create(first, root, buckets)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        stored = self.first
-        if number > 0:
-            stored = self.spark.read.schema(self.first.schema).parquet(self.path(number - 1))
-        after = upsert(stored, first_per_key(batch), ntz(self.now(number)))
-        after.write.mode("overwrite").parquet(self.path(number))
-        self.last = number
-
-    def _newest(self) -> int:
-        """The last snapshot that is complete on disk, also of an earlier run; -1 if there is none."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        done = hadoop.Path(f"{self.root}/snapshot-*/_SUCCESS")
-        found = done.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(done) or []
-        return max((int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found), default=-1)
+        self.store.apply(batch, self.now(number), f"batch-{number}")
+        if number % self.merge_every == self.merge_every - 1:
+            self.store.merge()
 
     def result(self) -> DataFrame:
-        last = max(self.last, self._newest())
-        if last < 0:
-            return self.first
-        return self.spark.read.schema(self.first.schema).parquet(self.path(last))
+        self.store.refresh()
+        return self.store.table()
