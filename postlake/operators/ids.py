@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.session import cut_lineage
@@ -34,13 +34,13 @@ def assign_ids(
     return numbered.select(value.alias(name), *keep)
 
 
-def number_in_order(rows: DataFrame, key: str, start: int = 1, name: str = "id") -> tuple[DataFrame, int]:
-    """Number rows ``start, start + 1, ...`` in order of ``key``, and the greatest number given (``start - 1`` if none).
+def number_in_order(rows: DataFrame, *order: str | Column, start: int = 1, name: str = "id") -> tuple[DataFrame, int]:
+    """Number rows ``start, start + 1, ...`` in ``order``, and the greatest number given (``start - 1`` if none).
 
-    Ranges of the key are sorted apart and written; the driver gets the size of each range, and a row its place behind
-    the ranges before it. Rows of equal keys are numbered in any order.
+    Ranges of the order are sorted apart and written; the driver gets the size of each range, and a row its place behind
+    the ranges before it. Rows that tie are numbered in any order.
     """
-    sorted_rows = rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     written = cut_lineage(sorted_rows, "numbered")
     part, inside = F.shiftright("_at", 33).cast("int"), F.col("_at").bitwiseAND((1 << 33) - 1)
     counts = {r.p: r.n for r in written.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}

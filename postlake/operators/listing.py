@@ -60,12 +60,23 @@ def with_totals(page_rows: DataFrame, counted: DataFrame, page: Page) -> DataFra
     )
 
 
-def list_page(jobs: DataFrame, filters: JobFilters | None = None, page: Page = Page(1, 20)) -> DataFrame:
+def list_page(
+    jobs: DataFrame, filters: JobFilters | None = None, page: Page = Page(1, 20), analyzer: str = "english", postings=None
+) -> DataFrame:
     """One page of the filtered listing with the total on every row.
 
+    With a ``search`` among the filters it is the page of that search, best
+    first, and no other filter counts; ``analyzer`` and ``postings`` are then as
+    for :func:`postlake.operators.search.search_page`.
+
     The sort is a top-(offset + size) per task, merged at the end. Walk deep
-    with :func:`list_after`, whose cost does not grow with the depth.
+    with :func:`list_after`, or read a stored listing
+    (:func:`postlake.operators.stored_listing.stored_page`).
     """
+    if filters is not None and filters.search:
+        from postlake.operators.search import search_page
+
+        return search_page(jobs, filters.search, page, analyzer, postings).drop("rank")
     kept = filter_jobs(jobs, filters)
     rows = kept.orderBy(*newest_first("last_seen_at")).offset(page.offset).limit(page.page_size)
     return with_totals(project_light(rows), kept, page)

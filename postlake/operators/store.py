@@ -100,7 +100,7 @@ class PostingStore:
         known = self._rows(["external_id", "id", "bucket"]).where(F.col("bucket").isin(*touched))
         new = batch.join(known.select("external_id"), "external_id", "left_anti")
         added = cut_lineage(new.select(*incoming_columns(self.schema, ntz(now)), "bucket"), "store-new")
-        numbered, high = number_in_order(added, "external_id", self.state["high"] + 1)
+        numbered, high = number_in_order(added, "external_id", start=self.state["high"] + 1)
         numbered.select(*self.schema.names, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/rows/v={number}")
         seen = known.join(batch.select("external_id"), "external_id", "left_semi")
         if self.state["marks"]:

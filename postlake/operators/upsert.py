@@ -106,7 +106,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, now: dt.datetime | Column) ->
     new = new.select(*incoming_columns(stored.schema, now))
     if "id" in stored.columns:
         high = stored.agg(F.max("id")).first()[0] or 0
-        new, _ = number_in_order(new, "external_id", high + 1)
+        new, _ = number_in_order(new, "external_id", start=high + 1)
     return kept.unionByName(new)
 
 

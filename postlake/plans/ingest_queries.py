@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from postlake.functions import scalars
 from postlake.functions.html import select_html
-from postlake.operators import dedup, dedup_ttl, enrich, ids, upsert
+from postlake.operators import dedup, dedup_ttl, enrich, expiry, ids, upsert
 from postlake.plans import views
 from postlake.plans.registry import query
 from postlake.plans.sql import JOBS, REFS, RESULTS, STORED, with_
@@ -105,6 +105,21 @@ def union_sources(spark, d):
     return extract.union_sources(_all_responses(spark, d), views.sources(spark))[0]
 
 
+ARRIVALS = """refs_in AS (SELECT * FROM sitemap_refs WHERE external_id <> '' UNION ALL SELECT * FROM html_refs WHERE external_id <> ''
+  UNION ALL SELECT * FROM api_refs),
+arrived AS (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(length(response_url) * 7 % 60) AS fetched_at FROM refs_in)"""
+
+
+@query("dedup_arrival", with_(SITEMAP_ROWS, SITEMAP_REFS, HTML_REFS, API_REFS, ARRIVALS) + """
+SELECT source_key, response_url, pos, external_id, url, fetched_at,
+  row_number() OVER (PARTITION BY external_id ORDER BY fetched_at, source_key, response_url, pos) > 1 AS is_duplicate FROM arrived""")
+def dedup_arrival(spark, d):
+    """From landed responses to labelled references: the order is that of arrival, over all responses."""
+    refs = extract.union_sources(views.landed(spark, d), views.sources(spark))[0]
+    labelled = dedup.label_first(refs)
+    return labelled.select("source_key", "response_url", "pos", "external_id", "url", "fetched_at", "is_duplicate")
+
+
 @query("union_sources_errors", with_(SITEMAP_ROWS) + """SELECT source_key, response_url,
   CASE WHEN source_key NOT IN ('src0', 'src1', 'src2') THEN 'company ' || source_key || ' not registered'
     ELSE 'received non-OK status code: ' || status_code END AS error
@@ -445,25 +460,25 @@ def sink_bulk_upsert(spark, d):
     return upsert.upsert(stored, upsert.first_per_key(incoming.unionByName(again)), NOW)
 
 
-@query("sink_validate_batch", S + """, batch AS (
-  SELECT seq, external_id, CASE WHEN location = 'es' AND title LIKE '%e%' THEN '' ELSE url END AS url FROM incoming)
-SELECT seq, external_id, url FROM batch WHERE url <> '' """)
+@query("sink_validate_batch", with_(JOBS) + """SELECT id, external_id, url FROM (
+  SELECT id, external_id, CASE WHEN location = 'es' AND title LIKE '%e%' THEN '' ELSE url END AS url FROM jobs) WHERE url <> '' """)
 def sink_validate_batch(spark, d):
-    """Quarantine mode: the good part of a batch with bad rows."""
-    batch = views.stored_and_incoming(spark, d)[1]
+    """Quarantine mode over every posting: the good part of a batch with bad rows."""
     bad = (F.col("location") == "es") & F.col("title").contains("e")
-    batch = batch.withColumn("url", F.when(bad, "").otherwise(F.col("url")))
-    return upsert.check_batch(batch, "quarantine")[0].select("seq", "external_id", "url")
+    batch = views.jobs(spark, d).withColumn("url", F.when(bad, "").otherwise(F.col("url")))
+    return upsert.check_batch(batch, "quarantine")[0].select("id", "external_id", "url")
 
 
-@query("sink_validate_all", S + """, batch AS (
-  SELECT seq, external_id, CASE WHEN title LIKE '%e%' THEN '' ELSE url END AS url FROM incoming)
-SELECT seq, external_id, url FROM batch WHERE NOT EXISTS (SELECT 1 FROM batch WHERE url = '')""")
+@query("sink_validate_all", with_(JOBS) + """, batch AS (
+  SELECT id, id % 2 AS half, external_id, CASE WHEN id % 2 = 0 AND title LIKE '%e%' THEN '' ELSE url END AS url FROM jobs)
+SELECT id, external_id, url FROM batch b WHERE NOT EXISTS (SELECT 1 FROM batch x WHERE x.half = b.half AND x.url = '')""")
 def sink_validate_all(spark, d):
-    """All-or-nothing mode: one bad row empties the batch."""
-    batch = views.stored_and_incoming(spark, d)[1]
-    batch = batch.withColumn("url", F.when(F.col("title").contains("e"), "").otherwise(F.col("url")))
-    return upsert.accepted(batch).select("seq", "external_id", "url")
+    """All-or-nothing mode over two batches that hold every posting: one bad row empties its batch, and no other."""
+    jobs = views.jobs(spark, d)
+    bad = (F.col("id") % 2 == 0) & F.col("title").contains("e")
+    jobs = jobs.withColumn("url", F.when(bad, "").otherwise(F.col("url")))
+    halves = [upsert.accepted(jobs.where(F.col("id") % 2 == half)) for half in (0, 1)]
+    return halves[0].unionByName(halves[1]).select("id", "external_id", "url")
 
 
 @query("sink_insert", S + """SELECT count(*) AS n, count(DISTINCT external_id) AS ids FROM (
@@ -501,3 +516,16 @@ def change_tracking(spark, d):
 def expire_missing(spark, d):
     stored, incoming = views.stored_and_incoming(spark, d)
     return upsert.expire_missing(stored, incoming, NOW).select("id", "expired_at")
+
+
+@query("expire_unlisted", with_(JOBS) + """SELECT id, CASE WHEN expired_at IS NULL AND (id - 1) % 3 = 0
+  AND right(company_name, 1) NOT IN ('1', '4') THEN TIMESTAMP '2025-01-01' ELSE expired_at END AS expired_at FROM jobs""")
+def expire_unlisted(spark, d):
+    """Two crawls; the second broke off at the sources whose name ends in 1 or 4, which expire nothing."""
+    listed = views.crawls(spark, d)
+    second = F.expr(views.EPOCH) + F.make_dt_interval(F.lit(0), F.lit(36))
+    log = expiry.listing_intervals(expiry.listing_intervals(None, listed.where(F.col("fetched_at") < second)), listed.where(F.col("fetched_at") >= second))
+    responses = views.table(spark, d, "documents").select(F.col("source").alias("source_key"))
+    responses = responses.withColumn("fetched_at", F.expr(views.EPOCH) + F.make_dt_interval(F.lit(2)))
+    crawls = expiry.crawl_log(responses, responses.where(F.substring("source_key", -1, 1).isin("1", "4")))
+    return expiry.expire_unlisted(views.jobs(spark, d), log, crawls, NOW).select("id", "expired_at")

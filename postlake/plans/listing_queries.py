@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from postlake.functions import scalars
-from postlake.operators import filters, listing, stats
+from postlake.operators import filters, listing, stats, stored_listing
 from postlake.operators.filters import JobFilters
 from postlake.operators.listing import Page
 from postlake.plans import views
 from postlake.plans.registry import query
 from postlake.plans.sql import JOBS, LIGHT, RESULTS, with_
+from postlake.session import scratch_path
 
 J = with_(JOBS)
 ACTIVE = "expired_at IS NULL"
@@ -88,6 +89,22 @@ def list_page(spark, d):
     return listing.list_page(views.jobs(spark, d), None, Page(2, 20))
 
 
+@query("list_page_deep", _page_sql(ACTIVE, 20, 600))
+def list_page_deep(spark, d):
+    """The 31st page, out of the stored listing: one range of places is read."""
+    root = scratch_path(spark, "stored-listing")
+    stored_listing.write_listing(views.jobs(spark, d), root, width=500)
+    return stored_listing.stored_page(spark, root, Page(31, 20))
+
+
+@query("lookup_by_id_stored", J + "SELECT id, external_id, company_name, url, title, location, description, first_seen_at, last_seen_at FROM jobs WHERE id = 8")
+def lookup_by_id_stored(spark, d):
+    """Out of the table that is stored by id: one range of ids is read."""
+    root = scratch_path(spark, "stored-by-id")
+    stored_listing.write_by_id(views.jobs(spark, d), root, width=500)
+    return stored_listing.lookup_stored(spark, root, 8)
+
+
 @query("list_page_filtered", _page_sql(f"{ACTIVE} AND location = 'en'", 50, 50))
 def list_page_filtered(spark, d):
     return listing.list_page(views.jobs(spark, d), JobFilters(location="en"), Page(2, 50))

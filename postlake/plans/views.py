@@ -227,3 +227,20 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
         F.lit("192.0.2.1:80").alias("remote"),
         F.repeat("props", (F.col("event_id") % 300).cast("int")).alias("body"),
     )
+
+
+def landed(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of every type, as they landed one after the other."""
+    every = sitemap_responses(spark, d).unionByName(html_responses(spark, d)).unionByName(api_responses(spark, d))
+    minutes = F.length("url") * 7 % 60
+    return every.withColumn("fetched_at", F.expr(EPOCH) + F.make_dt_interval(mins=minutes))
+
+
+def crawls(spark: SparkSession, d: str) -> DataFrame:
+    """Two crawls of the documents' sources: the second lists two of three, and broke off at some sources."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("source_key"), "doc_id")
+    day = lambda n: F.expr(EPOCH) + F.make_dt_interval(F.lit(n))
+    first = docs.withColumn("fetched_at", day(1))
+    second = docs.where("doc_id % 3 <> 0").withColumn("fetched_at", day(2))
+    both = first.unionByName(second).withColumn("external_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    return both.select("source_key", "external_id", "fetched_at")

@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlake.functions.html import select_html
-from postlake.functions.scalars import extract_id, url_from_template
+from postlake.functions.scalars import extract_id, non_empty, url_from_template
 from postlake.functions.settle import settle
 from postlake.sources.config import enabled
 
+SITEMAP_TYPE = "url array<struct<loc string>>, _corrupt_record string"
 FOUND = ["source_key", "company_name", "response_url", "pos", "external_id", "url"]
 
 
@@ -59,7 +60,7 @@ def parse_sitemaps(ready: DataFrame) -> DataFrame:
     """Adds ``locs`` (the ``url/loc`` texts below the root) and the parse error."""
     doc = F.from_xml(
         "body",
-        "url array<struct<loc string>>, _corrupt_record string",
+        SITEMAP_TYPE,
         {"ignoreSurroundingSpaces": "false"},
     )
     parsed = settle(ready, "doc", doc)
@@ -130,27 +131,32 @@ def parse_api(ready: DataFrame) -> DataFrame:
 
 
 def variant_id(v: str) -> Column:
+    return F.expr(variant_id_sql(v))
+
+
+def variant_id_sql(v: str) -> str:
     """A string as it is, a number cut to an integer; null for anything else.
 
     Whole numbers stay exact up to 38 digits; one with a fraction or an exponent is null beyond 64 bits.
     """
     kind = f"schema_of_variant({v})"
-    return F.expr(
-        f"""CASE WHEN {kind} = 'STRING' THEN try_variant_get({v}, '$', 'string')
+    return f"""CASE WHEN {kind} = 'STRING' THEN try_variant_get({v}, '$', 'string')
                  WHEN {kind} = 'BIGINT' THEN CAST(try_variant_get({v}, '$', 'bigint') AS string)
                  WHEN {kind} RLIKE '^DECIMAL.[0-9]+,0.$'
                  THEN CAST(try_variant_get({v}, '$', 'decimal(38,0)') AS string)
                  WHEN {kind} RLIKE '^(DECIMAL|DOUBLE|FLOAT)'
                  THEN CAST(try_cast(try_variant_get({v}, '$', 'double') AS bigint) AS string) END"""
-    )
+
+
+def _id_field() -> Column:
+    return F.when(F.coalesce(F.col("cfg_id_field"), F.lit("")) == "", "id").otherwise(F.col("cfg_id_field"))
 
 
 def refs_from_api(ready: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = parse_api(_of(ready, "api"))
-    field = F.when(F.coalesce(F.col("cfg_id_field"), F.lit("")) == "", "id").otherwise(F.col("cfg_id_field"))
     good = parsed.where("error IS NULL")
     # A field name is one key, dots included.
-    key = F.concat(F.lit("$"), _key(field))
+    key = F.concat(F.lit("$"), _key(_id_field()))
     items = good.select(
         "source_key",
         F.col("url").alias("response_url"),
@@ -164,15 +170,55 @@ def refs_from_api(ready: DataFrame) -> tuple[DataFrame, DataFrame]:
     return refs, parsed.where("error IS NOT NULL").select("source_key", F.col("url").alias("response_url"), "error")
 
 
+def read_responses_once(ready: DataFrame) -> DataFrame:
+    """``items array<struct<pos, external_id, url>>`` and ``error`` of every response, whatever its source's type.
+
+    Each reader sees the bodies of its own type and null for the others, so one pass over the responses does for all.
+    """
+
+    def body_of(fetch_type: str) -> Column:
+        return F.when(F.col("error").isNull() & (F.col("cfg_fetch_type") == fetch_type), F.col("body"))
+
+    def item(pos: Column, external_id: Column, url: Column) -> Column:
+        return F.struct(pos.cast("bigint").alias("pos"), external_id.alias("external_id"), url.alias("url"))
+
+    early = ready.withColumn("early", F.col("error"))
+    found = settle(early, "found", select_html(body_of("html"), {"hrefs": (F.col("cfg_link_selector"), "attr:href")}))
+    doc = F.from_xml(body_of("sitemap"), SITEMAP_TYPE, {"ignoreSurroundingSpaces": "false"})
+    parsed = parse_api(settle(found, "doc", doc).withColumn("body", body_of("api"))).withColumnRenamed("error", "api_error")
+    bad_sitemap = F.when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "failed to parse sitemap")
+    kind = F.col("cfg_fetch_type")
+    late = F.when(kind == "sitemap", bad_sitemap).when(kind == "api", F.col("api_error"))
+    pattern, key = F.col("cfg_id_pattern"), F.concat(F.lit("$"), _key(_id_field()))
+    sitemap = F.transform("doc.url.loc", lambda x, i: item(i, extract_id(x, pattern), x))
+    html = F.transform("found.hrefs", lambda x, i: item(i, extract_id(x, pattern), x))
+    ids = settle(parsed.withColumn("key", key), "ids", F.expr("transform(jobs, j -> try_variant_get(j, key, 'variant'))"))
+    names = settle(ids, "names", F.expr(f"transform(ids, x -> {variant_id_sql('x')})"))
+    api = F.transform("names", lambda x, i: item(i, x, url_from_template("cfg_url_template", x)))
+    items = F.when(kind == "sitemap", sitemap).when(kind == "html", html).when(kind == "api", api)
+    return names.withColumn("items", items).withColumn("error", F.coalesce("early", late))
+
+
 def union_sources(responses: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References of every source, and ``(source_key, response_url, error)`` of
-    the responses that gave none because something was wrong with them."""
-    ready = join_source_config(responses, sources)
-    sitemap, sitemap_errors = refs_from_sitemaps(ready)
-    api, api_errors = refs_from_api(ready)
-    refs = sitemap.unionByName(refs_from_html(ready)).unionByName(api)
-    early = ready.where("error IS NOT NULL").select("source_key", F.col("url").alias("response_url"), "error")
-    return refs, early.unionByName(sitemap_errors).unionByName(api_errors)
+    the responses that gave none because something was wrong with them.
+
+    If the responses have ``fetched_at``, so do the references, and ``seq``: an
+    order of arrival over all responses that no two rows share.
+    """
+    done = read_responses_once(join_source_config(responses, sources))
+    timed = ["fetched_at"] if "fetched_at" in responses.columns else []
+    rows = done.where("error IS NULL").select("source_key", F.col("url").alias("response_url"), *timed, F.explode("items").alias("item"))
+    rows = rows.select("source_key", F.col("source_key").alias("company_name"), "response_url", "item.*", *timed)
+    refs = rows.where(non_empty("external_id")).select(*FOUND, *timed)
+    if timed:
+        refs = refs.withColumn("seq", arrival())
+    return refs, done.where("error IS NOT NULL").select("source_key", F.col("url").alias("response_url"), "error")
+
+
+def arrival() -> Column:
+    """When and where a reference came in: compares by time, then source, response and place in it."""
+    return F.struct("fetched_at", "source_key", "response_url", "pos")
 
 
 def discover_company(responses: DataFrame, sources: DataFrame, source_key: str) -> DataFrame:
