@@ -5,25 +5,24 @@ minima are taken, cut into bands, and documents that share a band are candidates
 then the full sets. Links form groups by alternating large-star and small-star.
 
 A band that many documents share is never expanded into all its pairs: its members are linked to one pivot. Where the
-members of a band are then still in different groups, documents meet blocks of others, as one row a block, and only
-confirmed links come out.
+members of a band are then still in different groups, documents of different groups meet by the rarest shingles of their
+sets, under length and positional bounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlake.llm.common import CHUNK_BYTES, U, grams, mix, small_batches, split_words, text_chunks
 from postlake.llm.components import components
 from postlake.session import cut_lineage
 
+_OWN, _MARK, _TO, _TO_MARK, _PLACE = "__own", "__own_mark", "__to", "__to_mark", "__place"
 #: Bytes of text that one group of confirmations holds.
 GROUP_BYTES = 8 << 20
-#: Documents of a block that others are compared with.
-BLOCK = 256
 
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,101 +174,57 @@ class _Linker:
         return cut_lineage(found, "links")
 
 
-def _across(shared: DataFrame, best: DataFrame, label: DataFrame, texts: DataFrame, heads: DataFrame, linker: _Linker) -> DataFrame | None:
-    """Links between groups that still share a band: what the pivots alone can't show.
+def _shingler(k: int):
+    """Rows (id, c, body) to (id, c, n, tokens): the distinct shingles of each text."""
 
-    Documents are dealt into blocks by the group of their best pivot. A document outside that group meets each block
-    that it shares a band with, as one row a block and not one a pair; members of a group meet blocks of other groups.
+    def run(batches):
+        for batch in batches:
+            for first, n, offsets, raw in text_chunks(batch.column(2)):
+                owners, hashes = shingle_sets(offsets, raw, k)
+                cuts = np.searchsorted(owners, np.arange(n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, n),
+                        batch.column(1).slice(first, n),
+                        pa.array(np.diff(cuts).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(hashes.view(np.int64))),
+                    ],
+                    ["id", "c", "n", "tokens"],
+                )
+
+    return run
+
+
+def _across(shared: DataFrame, label: DataFrame, linker: _Linker) -> DataFrame | None:
+    """Candidate pairs (a, b) between groups that still share a band: what the pivots alone can't show.
+
+    Such documents meet by prefixes of their sets. Shingles are ordered by how many of these documents hold them, rarest
+    first; two sets that are similar enough share one among the first ``n - ceil(share * n) + 1`` of each, and the first
+    that they share leaves room behind it, in both, for the overlap they need. A shingle that one group alone holds links
+    nothing, and of a group's own documents no two are compared.
     """
-    kind = heads.schema["id"].dataType.simpleString()
+    kind, percent = linker.signed.schema["id"].dataType.simpleString(), linker.percent
     named = label.select(F.col("node").alias("id"), F.col("component").alias("c"))
-    people = shared.select("id").distinct().join(named, "id", "left").withColumn("c", F.coalesce("c", "id"))
-    homes = best.select(F.col("b").alias("id"), "a").join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    people = people.join(homes.select("id", F.coalesce("ca", "a").alias("g")), "id", "left").withColumn("g", F.coalesce("g", "c"))
-    people = cut_lineage(people, "people")
-    sizes = people.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    people = people.join(cut_lineage(sizes, "home-sizes"), "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    people = cut_lineage(people.select("id", "c", "g", "block"), "dealt-people")
-
-    rows = shared.select("band", "id").join(people, "id")
+    rows = shared.select("band", "id").join(named, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    rows = cut_lineage(rows, "grouped-bands")
     split = rows.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
-    apart = cut_lineage(rows.join(cut_lineage(split, "split-bands"), "band", "left_semi"), "apart")
-    there = apart.select("band", F.col("g").alias("to"), F.col("block").alias("at")).distinct()
-    there = cut_lineage(there, "blocks-by-band")
-    meets = apart.join(there, "band").where("c <> g OR `to` < g").select("id", "to", "at").distinct()
-    meets = cut_lineage(meets, "meets")
-    cells = meets.groupBy("to", "at").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
-    cells = cut_lineage(cells, "cells")
-    if cells.isEmpty():
+    apart = cut_lineage(rows.join(split, "band", "left_semi").select("id", "c").distinct(), "apart")
+    if apart.isEmpty():
         return None
-    full = texts.join(heads.select("id", "signature"), "id").join(people, "id")
-    full = cut_lineage(full.join(apart.select("id").distinct(), "id", "left_semi"), "met-texts")
-    left = meets.join(cells, ["to", "at"]).select("id", "to", "at", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
-    left = left.join(full.select("id", "c", "signature", "body"), "id")
-    right = cells.select(F.col("to").alias("g"), F.col("at").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    right = right.join(full, ["g", "block"])
-    groups = max(1, -(-full.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0] * 2 // GROUP_BYTES))
-    deal = lambda *by: F.pmod(F.xxhash64(*by), F.lit(groups))
-    left = left.select(deal("to", "at", "part").alias("k"), "to", "at", "part", "id", "c", "signature", "body")
-    right = right.select(
-        deal("g", "block", "part").alias("k2"), "g", "block", F.col("part").alias("part2"), F.col("id").alias("id2"), F.col("c").alias("c2"),
-        F.col("signature").alias("signature2"), F.col("body").alias("body2"),
-    )
-    compare = _cell(linker.k, linker.percent, linker.least)
-    found = left.groupBy("k").cogroup(right.groupBy("k2")).applyInArrow(compare, f"a {kind}, b {kind}")
-    return cut_lineage(found, "links")
-
-
-def _cell(k: int, percent: int, least: float):
-    """Documents against the blocks that they meet: signatures first, then the full sets, each with all of a block at once."""
-
-    def sets_of(texts):
-        out = []
-        for _, n, offsets, raw in text_chunks(texts):
-            owners, hashes = shingle_sets(offsets, raw, k)
-            cuts = np.searchsorted(owners, np.arange(n + 1))
-            out += [hashes[cuts[i] : cuts[i + 1]] for i in range(n)]
-        return out
-
-    def places(table, names):
-        held = {}
-        for i, key in enumerate(zip(*[table.column(c).to_pylist() for c in names], strict=True)):
-            held.setdefault(key, []).append(i)
-        return held
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = [], []
-        kind = left.schema.field("id").type
-        if left.num_rows and right.num_rows:
-            ids, labels, own = left.column("id").to_pylist(), left.column("c").to_pylist(), sets_of(left.column("body"))
-            ids2, labels2, other = right.column("id2").to_pylist(), right.column("c2").to_pylist(), sets_of(right.column("body2"))
-            signs = np.frombuffer(b"".join(left.column("signature").to_pylist()), "<u2").reshape(left.num_rows, -1)
-            signs2 = np.frombuffer(b"".join(right.column("signature2").to_pylist()), "<u2").reshape(right.num_rows, -1)
-            blocks = places(right, ("g", "block", "part2"))
-            for key, rows in places(left, ("to", "at", "part")).items():
-                block = np.array(blocks.get(key, []), np.int64)
-                if not len(block):
-                    continue
-                sizes = np.array([len(other[j]) for j in block])
-                values = np.concatenate([other[j] for j in block])
-                order = np.argsort(values, kind="stable")
-                values, holders = values[order], np.repeat(np.arange(len(block)), sizes)[order]
-                names = [labels2[j] for j in block]
-                for i in rows:
-                    near = (signs[i] == signs2[block]).mean(axis=1) >= least
-                    near &= np.array([c != labels[i] for c in names])
-                    if not near.any():
-                        continue
-                    lo, hi = np.searchsorted(values, own[i], "left"), np.searchsorted(values, own[i], "right")
-                    span = hi - lo
-                    at = np.repeat(lo - np.cumsum(span) + span, span) + np.arange(span.sum())
-                    both = np.bincount(holders[at], minlength=len(block))
-                    for j in np.flatnonzero(near & (100 * both >= percent * (sizes + len(own[i]) - both))):
-                        a.append(ids[i])
-                        b.append(ids2[block[j]])
-        return pa.table({"a": pa.array(a, kind), "b": pa.array(b, kind)})
-
-    return compare
+    sets = linker.texts.join(apart, "id").select("id", "c", "body").mapInArrow(
+        _shingler(linker.k), f"id {kind}, c {kind}, n long, tokens array<long>"
+    )
+    held = cut_lineage(sets.select("id", "c", "n", F.explode("tokens").alias("t")), "held-shingles")
+    known = held.groupBy("t").agg(F.count(F.lit(1)).alias("f"), (F.min("c") != F.max("c")).alias("meets"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "t")) - 1
+    first = held.join(known, "t").withColumn("i", place)
+    first = first.where(F.col("meets") & (F.col("i") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+    first = cut_lineage(first.select("t", "id", "c", "n", "i"), "prefixes")
+    other = first.toDF("t", "id2", "c2", "n2", "i2")
+    enough = (100 + percent) * F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= percent * (F.col("n") + F.col("n2"))
+    near = (F.col("c") < F.col("c2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & enough
+    pairs = first.join(other, "t").where(near).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return cut_lineage(pairs.distinct(), "prefix-pairs")
 
 
 def near_duplicates(
@@ -339,9 +294,9 @@ def near_duplicates(
     links = links.unionAll(more)
     label = cut_lineage(components(links), "labels")
 
-    found = _across(shared, best, label, texts, heads, linker)
-    if found is not None:
-        links = links.unionAll(found)
+    pairs = _across(shared, label, linker)
+    if pairs is not None:
+        links = links.unionAll(linker.links(pairs))
         label = cut_lineage(components(links), "labels")
 
     verdict = classes.join(label.withColumnRenamed("node", "head"), "head", "left").select(
@@ -358,8 +313,28 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; rows without an id stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col(id_col).alias("gone")).distinct()
-    gone = cut_lineage(gone, "dropped-ids")
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each group of ``near_duplicates`` one row stays, with its columns.
+
+    ``keep`` says whose: that of the ``smallest`` or the ``largest`` id. Rows are told apart by id and text: of repeated
+    rows one stays, and of rows that share an id each belongs to its own text's group. A row without an id belongs to no
+    group; of those of equal text one stays. Texts without words are no near-duplicates of each other.
+    """
+    if keep not in ("smallest", "largest"):
+        raise ValueError(f"unknown: keep={keep}")
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    own = F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(body))
+    named = docs.withColumn(_OWN, own).withColumn(_MARK, F.xxhash64(body))
+    # Of repeated rows the first by all columns; each task sends one on, however many it holds.
+    place = F.row_number().over(Window.partitionBy(_OWN, _MARK).orderBy(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])))
+    named = named.withColumn(_PLACE, place).where(F.col(_PLACE) == 1).drop(_PLACE)
+    known = F.col(f"`{id_col}`").isNotNull()
+    judged = near_duplicates(docs.where(known).select(own.alias("id"), body.alias("body")), id_col="id", text_col="body", **options)
+    judged = cut_lineage(judged.select("id", "component_id").distinct(), "judged-texts")
+    ids = docs.select(own.alias("id"), F.xxhash64(body).alias("mark"), F.col(f"`{id_col}`").alias("doc")).distinct()
+    best = F.min if keep == "smallest" else F.max
+    chosen = ids.join(judged, "id").groupBy("component_id").agg(best(F.struct("doc", "id", "mark")).alias("m")).select("m.id", "m.mark")
+    chosen = chosen.unionByName(ids.where("doc IS NULL").select("id", "mark"))
+    chosen = cut_lineage(chosen.toDF(_TO, _TO_MARK), "kept-texts")
+    same = (F.col(_OWN) == F.col(_TO)) & (F.col(_MARK) == F.col(_TO_MARK))
+    return named.join(chosen.hint("merge"), same, "left_semi").drop(_OWN, _MARK)

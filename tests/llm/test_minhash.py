@@ -3,6 +3,7 @@ import string
 from collections import Counter
 
 from postlake.llm.components import components
+from postlake.llm import minhash
 from postlake.llm.minhash import drop_near_duplicates, near_duplicates
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -57,13 +58,30 @@ def test_families_near_the_threshold(make_docs):
     want = brute(rows, 2)
     assert len({r[2] for r in want}) > 10
     assert run(make_docs(rows), shingle=2) == want
-    from postlake.llm import minhash
 
-    minhash.BLOCK, kept = 16, minhash.BLOCK
-    try:
-        assert run(make_docs(rows), shingle=2) == want
-    finally:
-        minhash.BLOCK = kept
+
+def test_groups_of_one_mould_meet_in_few_pairs(make_docs, monkeypatch):
+    """Documents of one mould share bands and are no links; the positional bound keeps them from meeting in pairs."""
+    draw = random.Random(12)
+    mould = [f"m{i}" for i in range(100)]
+    rows = []
+    for d in range(120):
+        own = [f"o{d}x{i}" for i in range(13 if d % 2 else 14)]
+        rows.append((d, " ".join(mould + own)))
+    for d in range(120, 140):  # of these, some are links to what others of the mould are
+        own = rows[draw.randrange(120)][1].split()
+        rows.append((d, " ".join(own[:-3] + [f"n{d}a", f"n{d}b", f"n{d}c"])))
+    met = []
+    across = minhash._across
+
+    def counted(*args):
+        pairs = across(*args)
+        met.append(0 if pairs is None else pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    assert run(make_docs(rows), shingle=2) == brute(rows, 2)
+    assert met[0] < 400
 
 
 def test_drop(make_docs):
