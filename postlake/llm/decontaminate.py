@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from postlake.llm.common import ascii_lower, hex_lines
 from postlake.session import cut_lineage
 
+_OWN, _MARK, _TO, _TO_MARK = "__own", "__own_mark", "__to", "__to_mark"
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 3
 
@@ -50,9 +51,12 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    with_mark: bool = False,
 ) -> DataFrame:
     """For each row of ``docs``: its id, ``n_words``, ``n_hit``, ``items`` (sorted, as strings), ``contaminated``.
 
+    ``with_mark`` adds the hash of its text.
+
     A window is ``window`` consecutive words of an item, or all words of a shorter item. A word of a document is hit if
     it lies in an occurrence of any window; ``items`` are those of which a window occurs.
 
@@ -75,7 +79,7 @@ def contamination(
     if sizes:
         tokens = cut_lineage(reduce(DataFrame.unionAll, tokens), "window-shingles")
         # Its size is known from its file; the engine sends it to all tasks only below its own bound, else it shuffles.
-        known = cut_lineage(tokens.select("token").distinct().coalesce(1), "shingles")
+        known = cut_lineage(tokens.select("token").distinct(), "shingles")
         every = [
             parsed.select("id", "mark", F.size("w").alias("n"), F.posexplode(F.expr(_shingles("w", k))).alias("pos", "token"))
             for k in sizes
@@ -114,6 +118,7 @@ def contamination(
         "n_hit",
         F.coalesce("items", F.expr("CAST(array() AS array<string>)")).alias("items"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        *(["mark"] if with_mark else []),
     )
 
 
@@ -124,8 +129,13 @@ def contamination_digest(judged: DataFrame, id_col: str = "doc_id") -> DataFrame
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id has no contaminated row; rows without an id stay."""
-    gone = contamination(docs, benchmark, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("gone")).distinct()
-    gone = cut_lineage(gone, "contaminated-ids")
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text is not contaminated, by id (null or not) and text: clean rows of the same id stay."""
+    body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"))
+    gone = contamination(plain, benchmark, id_col="id", text_col="body", with_mark=True, **options).where("contaminated")
+    gone = gone.select(F.xxhash64("id", "mark").alias(_TO), F.col("mark").alias(_TO_MARK)).distinct()
+    gone = cut_lineage(gone, "contaminated-texts")
+    named = docs.withColumn(_OWN, F.xxhash64(F.col(f"`{id_col}`"), F.xxhash64(body))).withColumn(_MARK, F.xxhash64(body))
+    same = (F.col(_OWN) == F.col(_TO)) & (F.col(_MARK) == F.col(_TO_MARK))
+    return named.join(gone.hint("merge"), same, "left_anti").drop(_OWN, _MARK)
