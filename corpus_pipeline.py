@@ -29,8 +29,11 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of three documents or more stay in the last; ``n_chars`` follows the text. No document goes."""
-    out = drop_repeated_lines(docs)
+    """Lines of three documents or more stay in the one of the largest id; ``n_chars`` follows the text.
+
+    A document that is left without a word goes: all that it held is elsewhere. No other does.
+    """
+    out = drop_repeated_lines(docs).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.char_length("text").cast(kind))
@@ -38,8 +41,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one of the smallest id stays."""
-    return drop_near_duplicates(docs)
+    """Of documents linked by five-word shingles at 0.8 or more, the one of the largest id stays.
+
+    So does a repeated line in the stage before: a document that holds the last copy of a line is not dropped for an
+    older one.
+    """
+    return drop_near_duplicates(docs, keep="largest")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
