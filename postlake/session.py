@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; every executor must see it.
 
     A temporary folder is made only where the setting is missing, which is the
-    case in local tests.
+    case in local tests; it goes when the program ends. What lies in a folder of
+    the cluster is kept there, as other jobs may still read it.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -49,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     made = tempfile.mkdtemp(prefix="postlake-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
