@@ -7,8 +7,9 @@ occurs more than once travel at all. Each shard of segments gets an FM-index; ba
 gives the matching statistics of the segments streamed through it, and windows whose statistics reach the threshold are
 the repeats. Windows of equal words have the same interval of suffixes; the earliest stays.
 
-Anchors of very many occurrences would fill one shard. Their windows are taken singly: pre-aggregated by a hash of 128
-bits, which leaves one of each and nothing for an index to find. Copies of whole texts are settled by their hash.
+Anchors of very many occurrences would fill one shard. Their segments are classes by a hash of 128 bits: every one but
+the first of its class repeats as a whole, and only the first is cut into windows, which are settled by their hashes.
+Copies of whole texts are settled by their hash.
 """
 
 from __future__ import annotations
@@ -300,13 +301,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     shard = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // SHARD))))
     gone = segments(False).withColumn("shard", shard).groupBy("shard").applyInArrow(_shard(window), T.StructType([*key, *run]))
 
-    singles = segments(True).mapInArrow(
+    # Hot anchors: equal segments are one class, all but whose first repeat it whole, as one interval; only the first
+    # segment of each class is cut into windows.
+    hot = segments(True).select(F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), "id", "mark", "start", "n", "words")
+    hot = cut_lineage(hot, "hot-segments")
+    first = F.min(F.struct("id", "mark", "start", "n", "words")).alias("e")
+    classes = cut_lineage(hot.groupBy("h1", "h2").agg(first, F.count(F.lit(1)).alias("often")), "hot-classes")
+    many = classes.where("often > 1").select("h1", "h2", F.col("e.id").alias("i"), F.col("e.mark").alias("m"), F.col("e.start").alias("s"))
+    again = hot.drop("words").join(many, ["h1", "h2"]).where("NOT (id = i AND mark = m AND start = s)").select("id", "mark", "start", "n")
+    heads = classes.select(F.lit(0).cast("long").alias("anchor"), "e.id", "e.mark", "e.start", "e.n", "e.words")
+    singles = heads.mapInArrow(
         _single_windows(window), T.StructType([field("h1", T.LongType()), field("h2", T.LongType()), *key, field("start", T.IntegerType())])
     )
     singles = cut_lineage(singles, "single-windows")
     earliest = singles.groupBy("h1", "h2").agg(F.min(F.struct("id", "mark", "start")).alias("e"), F.count(F.lit(1)).alias("often")).where("often > 1")
     earliest = cut_lineage(earliest.select("h1", "h2", F.col("e.id").alias("i"), F.col("e.mark").alias("m"), F.col("e.start").alias("s")), "earliest")
     late = singles.join(earliest, ["h1", "h2"]).where("NOT (id = i AND mark = m AND start = s)").select("id", "mark", "start", F.lit(1).alias("n"))
+    late = late.unionAll(again)
 
     gone = gone.unionAll(late).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     gone = gone.join(copies.withColumn("copy", F.lit(True)), ["id", "mark"], "full")
