@@ -19,17 +19,33 @@ from postlake.session import cut_lineage
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
-#: Components are held within plus and minus this, so that sums stay exact in 64 bits.
-LARGEST = 1 << 26
+#: Sums of products below this are left to 64-bit integers; Python's take over beyond.
+SAFE = 1 << 62
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
-    """floor(scale * x) of each component; null if the vector, or a component, is null or not finite."""
+    """floor(scale * x) of each component, as a whole double; null if the vector, or a component, is null or not finite."""
+
+    def whole(x: Column) -> Column:
+        value = x.cast("double") * scale
+        # From 2 ** 52 on a double is whole, and beyond 2 ** 63 it would not fit an integer.
+        return F.when(F.abs(value) < float(1 << 52), F.floor(value).cast("double")).otherwise(value)
+
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    value = F.transform(
-        vector, lambda x: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(x.cast("double") * scale))).cast("int")
-    )
-    return F.when(vector.isNotNull() & fine, value)
+    return F.when(vector.isNotNull() & fine, F.transform(vector, whole))
+
+
+def _integers(*matrices: np.ndarray) -> list[np.ndarray]:
+    """Whole doubles as integers of one kind, wide enough for every product of a row of one with a row of another."""
+    largest = [float(np.abs(m).max(initial=1)) for m in matrices]
+    if max(largest) ** 2 * max(1, *[m.shape[1] for m in matrices]) < SAFE:
+        return [m.astype(np.int64) for m in matrices]
+    out = []
+    for m in matrices:
+        flat = np.empty(m.size, object)
+        flat[:] = [int(v) for v in m.ravel()]
+        out.append(flat.reshape(m.shape))
+    return out
 
 
 class Shard:
@@ -57,7 +73,7 @@ class Shard:
         summed = np.cumsum([bound[d] for d in terms]) if terms else np.zeros(0)
         weak = int(np.searchsorted(summed, least, side="left")) if least > 0 else 0
         essential, rest = terms[weak:], terms[:weak][::-1]
-        score, seen = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
+        score, seen = np.zeros(len(self.ids), self.matrix.dtype), np.zeros(len(self.ids), bool)
         for d in essential:
             sign, weight = (1 if query[d] > 0 else -1), abs(int(query[d]))
             rows, impact, _ = self.postings[d, sign]
@@ -96,7 +112,7 @@ def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
     lists = column.combine_chunks()
     lengths = np.diff(np.frombuffer(lists.offsets.buffers()[1], np.int32)[lists.offsets.offset :][: len(lists) + 1])
     width = int(lengths.max(initial=0)) if width is None else width
-    out = np.zeros((len(lists), width), np.int64)
+    out = np.zeros((len(lists), width))
     rows = np.repeat(np.arange(len(lists)), lengths)
     at = np.arange(len(rows)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out[rows, at] = lists.flatten().to_numpy()
@@ -107,12 +123,13 @@ def _searcher(k: int):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         queries, found, scores = [], [], []
         if left.num_rows and right.num_rows:
-            shard = Shard(left.column("id").to_numpy(), _matrix(left.column("v")))
-            for query_id, vector in zip(right.column("q").to_numpy(), _matrix(right.column("w")), strict=True):
+            rows, wanted = _integers(_matrix(left.column("v")), _matrix(right.column("w")))
+            shard = Shard(left.column("id").to_numpy(), rows)
+            for query_id, vector in zip(right.column("q").to_numpy(), wanted, strict=True):
                 ids, score = shard.search(query_id, vector, k)
                 queries.append(np.full(len(ids), query_id))
                 found.append(ids)
-                scores.append(score)
+                scores.append(score.astype(np.int64))
         empty = [np.zeros(0, np.int64)]
         return pa.table(
             {"query_id": np.concatenate(queries or empty), "vec_id": np.concatenate(found or empty), "score": np.concatenate(scores or empty)}
@@ -124,7 +141,8 @@ def _searcher(k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of ``vectors`` (id, v) for each of ``queries`` (id, v).
 
-    ``v`` is an array of integers (``quantized``); shorter ones are filled up with zeros. A query's own id is no
+    ``v`` is an array of whole numbers (``quantized``) of any size; shorter ones are filled up with zeros. A score of the
+    result that no 64-bit integer holds is an error. A query's own id is no
     candidate; ties go to the smaller id; with fewer candidates than ``k`` all are returned, also those below zero.
 
     * Rows whose id or vector is null take no part.

@@ -49,7 +49,15 @@ def test_fewer_candidates_than_k(spark):
 def test_quantized(spark):
     rows = [([0.5, -0.001, 1.0],), (None,), ([0.1, None],), ([float("nan")],), ([float("inf")],), ([],), ([3e38],)]
     got = [r[0] for r in spark.createDataFrame(rows, "v array<float>").select(quantized(F.col("v"))).collect()]
-    assert got == [[512, -2, 1024], None, None, None, None, [], [maxscore.LARGEST]]
+    assert got == [[512, -2, 1024], None, None, None, None, [], [1024 * float(np.float32(3e38))]]
+
+
+def test_values_beyond_a_word_are_told_apart(spark):
+    """Sums at the end of 64 bits, and products far beyond them, which only lose."""
+    rows = [(0, [2.0**20, 1.0]), (1, [70000.0, 3.0]), (2, [90000.0, -5.0]), (3, [-(2.0**100), 2.0]), (4, [2.0**20 + 1, 7.0]), (10, [0.0, 2.0**52 - 1])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    whole = [(i, [int(x) for x in v]) for i, v in rows]
+    assert run(df, 3) == brute(whole, [0, 10], 3)
 
 
 def test_weak_terms_are_skipped():
