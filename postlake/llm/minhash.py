@@ -21,6 +21,8 @@ from postlake.llm.components import components
 from postlake.session import cut_lineage
 
 _OWN, _MARK, _TO, _TO_MARK, _PLACE = "__own", "__own_mark", "__to", "__to_mark", "__place"
+#: Pairs that two groups with a band in common are first tried by, and how often.
+TRIED, ROUNDS = 8, 2
 #: Bytes of text that one group of confirmations holds.
 GROUP_BYTES = 8 << 20
 
@@ -289,10 +291,17 @@ def near_duplicates(
             pairs = pairs.join(found, side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
         return pairs
 
-    rest = labelled(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), label).where("ca <> cb").select("a", "b")
-    more = linker.links(cut_lineage(rest, "star-rest"))
-    links = links.unionAll(more)
-    label = cut_lineage(components(links), "labels")
+    # Groups that a band joins are tried by a few of its pairs, those of most bands; whatever these don't show comes next.
+    tried = best
+    for _ in range(ROUNDS):
+        rest = labelled(stars.join(tried, ["a", "b"], "left_anti"), label).where("ca <> cb")
+        order = Window.partitionBy(F.least("ca", "cb"), F.greatest("ca", "cb")).orderBy(F.desc("hits"), F.xxhash64("a", "b"))
+        some = rest.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= TRIED).select("a", "b")
+        some = cut_lineage(some, "star-rest")
+        if some.isEmpty():
+            break
+        links, tried = links.unionAll(linker.links(some)), tried.unionAll(some)
+        label = cut_lineage(components(links), "labels")
 
     pairs = _across(shared, label, linker)
     if pairs is not None:
