@@ -2,7 +2,9 @@
 
 The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled rows. As the layers are
 linear, an embedding and the output weights fold into one row of scores for each hash bucket; a text's scores are the
-mean of its subwords' rows. Part of the sample is held back to fit a temperature and the rejection threshold.
+mean of its subwords' rows. Part of the sample is held back to fit a temperature and two thresholds of rejection: on the
+probability, and on the share of a text's subwords that the sample holds at all, as a softmax is sure of itself on letters
+that it has never seen.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlake.llm.common import text_chunks
+from postlake.session import cut_lineage
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
+#: Bits of the hash by which a subword counts as known; those of an embedding's bucket are the first of them.
+KNOWN_BITS = 20
 _CHUNK = 256 << 10
 
 #: Letters of ASCII in lower case and bytes of other characters; all else is a boundary.
@@ -66,18 +71,22 @@ class LanguageModel:
     temperature: float
     threshold: float
     bits: int
+    known: np.ndarray  # by the first KNOWN_BITS of a subword's hash
+    least_known: float
 
-    def probabilities(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        """Calibrated probabilities of each row of a chunk; a row without subwords is uniform."""
+    def probabilities(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated probabilities of each row of a chunk, and its share of known subwords; without any it is uniform."""
         n = len(offsets) - 1
-        rows, buckets = subwords(offsets, raw, self.bits)
+        rows, hashes = subwords(offsets, raw, KNOWN_BITS)
+        buckets = hashes >> (KNOWN_BITS - self.bits)
         count = np.bincount(rows, minlength=n)
+        share = np.bincount(rows, weights=self.known[hashes], minlength=n) / np.maximum(count, 1)
         logits = np.zeros((n, len(self.languages)))
         for c in range(len(self.languages)):
             logits[:, c] = np.bincount(rows, weights=self.scores[buckets, c], minlength=n)
         logits = logits / np.maximum(count, 1)[:, None] + self.bias
         logits[count == 0] = 0
-        return _softmax(logits / self.temperature)
+        return _softmax(logits / self.temperature), share
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -85,8 +94,9 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _features(bits: int):
-    """(label, body) to (label, buckets, counts)."""
+def _features():
+    """(label, body) to (label, buckets, counts), by the first KNOWN_BITS of the hash."""
+    bits = KNOWN_BITS
 
     def count(batches):
         for batch in batches:
@@ -108,53 +118,73 @@ def _features(bits: int):
 
 def train(
     docs: DataFrame,
-    max_rows: int = 2000,
+    max_rows: int = 3000,
+    max_labels: int = 400,
     bits: int = 15,
     width: int = 16,
-    epochs: int = 12,
+    epochs: int = 10,
     rate: float = 8.0,
-    reject_share: float = 0.001,
+    reject_share: float = 0.005,
     seed: int = 5,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "lang",
 ) -> LanguageModel | None:
-    """Fit on at most ``max_rows`` labelled rows, dealt evenly over the labels and chosen by the hash of their id.
+    """Fit on at most ``max_rows`` labelled rows, dealt evenly over the labels and chosen by the hash of their id and text.
 
-    Rows without an id, label, or a letter of text are not used; None if no row is left. The rows come to the driver as
-    counts of subword buckets, at most 2 ** ``bits`` a row. A fifth of them is held back: it fits the temperature, and
-    the rejection threshold is that below which ``reject_share`` of them fall, but 0.4 at most: texts in two languages
-    are near one half, and stay.
+    Rows without an id, label, or a letter of text are not used; None if no row is left. Rows of equal id, text and label
+    are one. Of more than ``max_labels`` labels the most frequent are learned. The rows come to the driver as counts of
+    their different subwords. A fifth of them is held back: it fits the temperature and the thresholds. That on the
+    probability is the one below which ``reject_share`` of them fall, but 0.4 at most, as texts in two languages are near
+    one half, and stay; that on known subwords is half of what all but ``reject_share`` of them reach.
     """
     usable = docs.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
-    usable = usable.select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"), F.col(f"`{text_col}`").alias("body")
-    )
-    labels = usable.select("label").distinct().count()
-    if not labels:
+    body = F.col(f"`{text_col}`")
+    usable = usable.select(F.xxhash64(F.col(f"`{id_col}`"), body).alias("key"), F.col(f"`{label_col}`").alias("label"), body.alias("body"))
+    often = usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(max_labels)
+    often = {r.label: r.n for r in often.collect()}
+    if not often:
         return None
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = usable.select("id", "label").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(2, max_rows // labels))
-    # Bounded by max_rows (two a label at least).
-    sample = usable.join(F.broadcast(chosen.select("id", "label").distinct()), ["id", "label"], "left_semi")
-    named = sample.select(F.struct("label", F.xxhash64("id").alias("place"), "id").alias("label"), "body")
+    each = max(2, max_rows // len(often))
+    # A hash bound for each label, at which some more rows than wanted are left: what is then ranked is bounded.
+    bounds = docs.sparkSession.createDataFrame(
+        [(k, min(2.0**63 - 1024, (4 * each + 40) / n * 2.0**64 - 2.0**63)) for k, n in often.items()], ["of", "bound"]
+    )
+    bounds = bounds.select(F.col("of").cast(usable.schema["label"].dataType).alias("of"), "bound")
+    near = usable.select("key", "label").join(F.broadcast(bounds), F.col("label") == F.col("of")).where(F.col("key") <= F.col("bound"))
+    order = Window.partitionBy("label").orderBy("key")
+    chosen = near.select("key", "label").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= each)
+    # max_rows pairs at most, two a label at least.
+    chosen = cut_lineage(chosen.select("key", "label"), "language-sample")
+    sample = usable.join(F.broadcast(chosen), ["key", "label"], "left_semi")
     ints = T.ArrayType(T.IntegerType())
+    named = sample.select(F.struct("label", "key").alias("label"), "body")
     schema = T.StructType([named.schema["label"], T.StructField("buckets", ints), T.StructField("counts", ints)])
-    rows = named.mapInArrow(_features(bits), schema).collect()
-    rows.sort(key=lambda r: (r.label.place, str(r.label.id), r.label.label, len(r.buckets)))
-    return _fit(rows, bits, width, epochs, rate, reject_share, seed)
-
-
-def _fit(rows: list, bits: int, width: int, epochs: int, rate: float, reject_share: float, seed: int) -> LanguageModel:
-    languages = sorted({r.label.label for r in rows})
-    kinds = np.array([languages.index(r.label.label) for r in rows])
-    buckets = [np.array(r.buckets, np.int64) for r in rows]
-    weights = [np.array(r.counts, float) / max(1, sum(r.counts)) for r in rows]
+    rows = named.mapInArrow(_features(), schema).groupBy("label").agg(F.min(F.struct("buckets", "counts")).alias("f"))
+    found = rows.select("label.key", F.col("label.label").alias("name"), "f.buckets", "f.counts").toArrow().combine_chunks()
+    keys, names = found["key"].to_numpy(), found["name"].to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (keys[i], str(names[i])))
+    lists = [(found["buckets"][i].values.to_numpy().astype(np.int64), found["counts"][i].values.to_numpy().astype(float)) for i in order]
+    return _fit([names[i] for i in order], lists, bits, width, epochs, rate, reject_share, seed)
+
+
+def _fit(
+    names: list, rows: list[tuple[np.ndarray, np.ndarray]], bits: int, width: int, epochs: int, rate: float, reject_share: float, seed: int
+) -> LanguageModel:
+    """``rows``: (hashes of different subwords, how often each occurs)."""
+    languages = sorted(set(names))
+    kinds = np.array([languages.index(n) for n in names])
+    hashes = [h for h, _ in rows]
+    buckets = [h >> (KNOWN_BITS - bits) for h in hashes]
+    weights = [c / max(1.0, c.sum()) for _, c in rows]
     back = np.arange(len(rows)) % 5 == 4
     draw = np.random.default_rng(seed)
     table = draw.uniform(-1 / width, 1 / width, (1 << bits, width))
     out, bias = np.zeros((width, len(languages))), np.zeros(len(languages))
     learn = np.flatnonzero(~back)
+    known = np.zeros(1 << KNOWN_BITS, bool)
+    for i in learn:
+        known[hashes[i]] = True
     steps, step = epochs * -(-len(learn) // 16), 0
     for _ in range(epochs):
         draw.shuffle(learn)
@@ -183,9 +213,10 @@ def _fit(rows: list, bits: int, width: int, epochs: int, rate: float, reject_sha
     loss = [-np.log(_softmax(logits / t)[np.arange(len(held)), kinds[held]] + 1e-12).mean() for t in tries]
     # Smoothed towards 1, so that a separable sample doesn't call for certainty everywhere.
     best = float(tries[int(np.argmin(np.array(loss) + 0.002 * np.log(tries) ** 2))])
+    at = int(len(held) * reject_share)
     sure = np.sort(_softmax(logits / best).max(axis=1))
-    threshold = float(min(0.4, sure[int(len(sure) * reject_share)]))
-    return LanguageModel(languages, scores.astype(np.float32), bias, best, threshold, bits)
+    share = np.sort([float((known[hashes[i]] * weights[i]).sum()) for i in held])
+    return LanguageModel(languages, scores.astype(np.float32), bias, best, float(min(0.4, sure[at])), bits, known, float(share[at]) / 2)
 
 
 def _has_letter(text: str | None) -> bool:
@@ -201,11 +232,11 @@ def _predictor(model: LanguageModel | None):
                 if model is None:
                     names, sure, passed = [UNKNOWN] * n, np.zeros(n), np.zeros(n, bool)
                 else:
-                    chances = model.probabilities(offsets, raw)
+                    chances, share = model.probabilities(offsets, raw)
                     top = chances.argmax(axis=1)
                     sure = np.where(known, chances[np.arange(n), top], 0.0)
                     names = [model.languages[k] if ok else UNKNOWN for k, ok in zip(top, known, strict=True)]
-                    passed = known & (sure >= model.threshold)
+                    passed = known & (sure >= model.threshold) & (share >= model.least_known)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), pa.array(names), pa.array(sure), pa.array(passed)],
                     ["row", "name", "sure", "passed"],
@@ -218,7 +249,8 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """``docs`` with ``lang_pred``, ``score`` (calibrated probability) and ``accepted``; such input columns are replaced.
 
     * Null text, or text without a letter: ``und``, score 0, not accepted. So is all if ``model`` is None.
-    * A text is accepted if its score reaches the model's threshold. Whole texts are read, of any length.
+    * A text is accepted if its score, and its share of known subwords, reach the model's thresholds. Whole texts are
+      read, of any length.
     * Only the text is read for it; other columns pass through.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("body"))

@@ -45,6 +45,31 @@ def test_odd_rows(spark, make_docs, odd_rows):
         assert (r.lang_pred != "und") == letter and (r.body, r.id) == ("b", 7)
 
 
+def test_what_was_never_learned_is_rejected(spark):
+    """Other scripts and letters that no label uses go; texts in two learned languages, and short ones, stay."""
+    docs, rows = labelled(spark, 400)
+    model = language_id.train(docs)
+    given = [(1, "Съешь же ещё этих мягких французских булок " * 3), (2, "qzx " * 50), (3, "色は匂へど 散りぬるを " * 4), (4, "wvq zzxw qwv xxq " * 9)]
+    known = [next(t for _, t, k in rows if k == lang and len(t) > 60) for lang in ("aa", "bb", "cc")]
+    given += [(10, known[0]), (11, known[0] + " " + known[1]), (12, known[1] + " 123 -- !!"), (13, known[0].upper()), (14, " ".join(known))]
+    found = {r.doc_id: r.accepted for r in language_id.identify(spark.createDataFrame(given, "doc_id long, text string"), model).collect()}
+    assert {i for i, ok in found.items() if not ok} == {1, 2, 3, 4}
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    """By rows and labels, however often a row or an id is repeated, and whatever a label holds."""
+    docs, rows = labelled(spark, 600)
+    copies = spark.createDataFrame([(7, rows[1][1], "bb")] * 500 + [(8, f"{rows[1][1]} {n}", "bb") for n in range(500)], docs.schema)
+    many = spark.createDataFrame([(10_000 + n, f"text of label {n}", f"l{n}") for n in range(300)], docs.schema)
+    seen = []
+    fit = language_id._fit
+    monkeypatch.setattr(language_id, "_fit", lambda names, lists, *rest: seen.append(names) or fit(names, lists, *rest))
+    language_id.train(docs.unionByName(copies), max_rows=90)
+    assert len(seen[0]) == 90 and all(seen[0].count(k) == 30 for k in ("aa", "bb", "cc"))
+    model = language_id.train(docs.unionByName(many), max_rows=90, max_labels=5)
+    assert len(set(seen[1])) == 5 and {"aa", "bb", "cc"} <= set(model.languages)
+
+
 def test_without_labels(make_docs):
     assert language_id.train(make_docs([(1, "text")])) is None
     assert language_id.train(make_docs([])) is None

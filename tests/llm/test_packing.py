@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from postlake.llm.packing import Capacity, best_fit, pack_documents, sequences, slots
+from postlake.llm.packing import Capacity, _Encoder, best_fit, merge_ranks, pack_documents, sequences, slots
 from postlake.llm.queries import tokenizer_path
 
 
@@ -43,6 +43,35 @@ def test_odd_rows(make_docs, odd_rows, tokenizer):
     assert len(by_sequence) <= 1.06 * -(-total // 1024) + 1
 
 
+def test_ids_are_those_of_the_tokenizer(tokenizer):
+    """Blanks and signs of many scripts, in every neighbourhood; a run that the faster library gives up on; a special token."""
+    encoder, draw = _Encoder(tokenizer_path()), random.Random(1)
+    assert encoder.fast is not None
+    pool = [chr(c) for c in [*range(0x250), *range(0x300, 0x370), *range(0x2000, 0x2070), *range(0x1F600, 0x1F640), 0x3000, 0xFEFF, 0x660, 0x2160]]
+    texts = ["".join(draw.choice(pool) for _ in range(draw.randrange(60))) for _ in range(4000)]
+    texts += [f"a {chr(c)} b{chr(c)}1{chr(c)}{chr(c)} " for c in range(0, 0x30000, 11) if not 0xD800 <= c < 0xE000]
+    texts += ["", "a<|endoftext|>b", " " * 300_000, "é1" * 20_000, "don'T WE'LL it's"]
+    for text, data in zip(texts, encoder.encode(texts), strict=True):
+        assert data == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text[:80])
+
+
+def test_other_tokenizers_run_by_themselves(tmp_path):
+    """What is no plain byte-level vocabulary in order of its merges is left to the tokenizer."""
+    import json
+
+    from postlake.llm.queries import tokenizer_path as path
+
+    assert merge_ranks(path("word_bpe_49k.json")) is None and _Encoder(path("word_bpe_49k.json")).fast is None
+    spec = json.load(open(path(), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}):
+        other = tmp_path / "other.json"
+        other.write_text(json.dumps(spec | change))
+        assert merge_ranks(str(other)) is None
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    other.write_text(json.dumps(spec))
+    assert merge_ranks(str(other)) is None
+
+
 def test_sequences(make_docs):
     docs = make_docs([(1, "some text"), (2, "more"), (3, None)])
     packed = pack_documents(docs, tokenizer_path(), with_ids=True)
