@@ -5,7 +5,8 @@ segments become wildcards, sibling branches whose labels don't differ statistica
 judged by the smoothed share of blocked labels below it, with that of its host's tree, of the same template on all
 hosts, and of all labels behind it where labels are few.
 
-All counting is over distinct (host, path) with their number of rows, pre-aggregated before each shuffle.
+All counting is over distinct (host, path), pre-aggregated before each shuffle: how variable a segment is, and how labels
+are spread, doesn't depend on how often a page was crawled.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from postlake.llm.common import ascii_lower, unfold, whole_row
 from postlake.session import cut_lineage
 
-#: Levels of a template; what lies deeper is one segment.
-LEVELS = 4
+#: Levels of a template at most; the tree ends where no path goes deeper. Beyond, the rest of a path is one segment.
+LEVELS = 24
 #: A node with this many children or more, most of them seen once, has variable segments.
 VARIABLE_FROM, VARIABLE_SHARE = 20, 0.5
 #: Branches closer than this many standard errors to the labels of their siblings are merged with them.
@@ -65,13 +66,14 @@ def _shape(segment: Column) -> Column:
 
 
 def _templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, path, n, blocked, labelled) with ``template``."""
+    """``urls`` (host, path, blocked, labelled), distinct, with ``template``."""
     pieces = F.split("path", "/", LEVELS + 1)
     rows = urls.withColumn("segments", F.transform(pieces, _shape)).withColumn("template", F.lit(""))
-    for level in range(1, LEVELS + 1):
+    deepest = rows.agg(F.coalesce(F.max(F.size("segments")), F.lit(1))).first()[0]
+    for level in range(1, deepest):
         rows = rows.withColumn("child", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
         children = rows.groupBy("host", "template", "child").agg(
-            F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")
+            F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")
         )
         children = cut_lineage(children, "branches")
         nodes = children.groupBy("host", "template").agg(
@@ -114,11 +116,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url") ->
     """
     host, path = host_and_path(F.col(f"`{url_col}`"))
     rows = pages.select(whole_row(pages).alias("row"), host.alias("host"), path.alias("path"))
-    urls = cut_lineage(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
+    urls = cut_lineage(rows.select("host", "path").distinct(), "urls")
     fits = cut_lineage(fitting_rules(urls.select("host", "path"), rules), "fits")
     urls = urls.join(fits, ["host", "path"], "left")
-    urls = urls.withColumn("labelled", F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0))
-    urls = urls.withColumn("blocked", F.when(F.col("label") == "block", F.col("n")).otherwise(0))
+    urls = urls.withColumn("labelled", F.col("label").isNotNull().cast("long"))
+    urls = urls.withColumn("blocked", F.coalesce(F.col("label") == "block", F.lit(False)).cast("long"))
     grown = _templates(cut_lineage(urls, "labelled-urls"))
     leaves = cut_lineage(_share(grown, ["host", "template"], "leaf"), "leaves")
     leaves = leaves.withColumns({"blocked": F.col("leaf_b"), "labelled": F.col("leaf_l")})

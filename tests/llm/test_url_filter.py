@@ -68,5 +68,48 @@ def test_variable_segments(judge):
     assert {r.template for r in got} == {"/{*}/view"} and {r.verdict for r in got} == {"allow"}
 
 
+def test_pages_crawled_twice(judge):
+    """Templates and verdicts depend on which URLs there are, not on how often."""
+    rows = [(i, f"http://s.com/item-{chr(97 + i % 26)}{chr(97 + i // 26)}/view") for i in range(60)]
+    once, twice = judge(rows), judge(rows + rows + rows[:7] * 5)
+    assert {r.template for r in once} == {r.template for r in twice} == {"/{*}/view"}
+
+
+def test_deep_paths(judge):
+    """Segments below the fourth level are generalised and learned from as any other."""
+    rules = [("block", "s.com/a/b/c/d/ads/1"), ("allow", "s.com/a/b/c/d/news/1")]
+    rows = [(i, f"http://s.com/a/b/c/d/{'ads' if i % 2 else 'news'}/{i % 3}{i:04d}/end") for i in range(200)]
+    got = judge(rows, rules)
+    assert all(r.verdict == ("block" if "/ads/" in r.path else "allow") for r in got)
+    assert {r.template for r in got} == {"/a/b/c/d/ads/{n}/end", "/a/b/c/d/news/{n}/end"}
+
+
+def smoothed(rows, rules):
+    """Verdicts by hand where every path is a template of its own: one level, few children, differing labels."""
+    counts = {}
+    for _, url in rows:
+        host, path, _, verdict = brute(url, rules)
+        counts[host, path] = verdict
+    total = [sum(v == "block" for v in counts.values()), sum(v is not None for v in counts.values())]
+    out = {}
+    for (host, path), verdict in counts.items():
+        share = (total[0] + 1.0) / (total[1] + 2.0)
+        for same in (lambda h, p: p == path, lambda h, p: h == host, lambda h, p: (h, p) == (host, path)):
+            mine = [v for (h, p), v in counts.items() if same(h, p)]
+            share = (sum(v == "block" for v in mine) + 2.0 * share) / (sum(v is not None for v in mine) + 2.0)
+        out[host, path] = (verdict or ("block" if share > 0.5 else "allow"), share)
+    return out
+
+
+def test_free_verdicts_against_brute_force(judge):
+    """Paths without a segment: each host is one template, judged by its own, all hosts' and all labels."""
+    rules = [("block", "bad.org"), ("allow", "good.org"), ("block", "mixed.org")]
+    rows = [(i, f"http://{h}") for i, h in enumerate(["bad.org", "a.bad.org", "b.bad.org", "good.org", "mixed.org", "free.net", "free.net", "other.net"])]
+    want = smoothed(rows, rules)
+    for r in judge(rows, rules):
+        verdict, share = want[r.host, r.path]
+        assert r.verdict == verdict and abs(r.block_share - share) < 1e-9
+
+
 def test_empty(judge):
     assert judge([]) == [] and judge([], []) == []
