@@ -157,7 +157,7 @@ def test_upsert(spark):
     assert got.keys() == {"e1", "e2", "e3", "e9"}
     assert (got["e2"]["title"], got["e2"]["last_seen_at"], got["e2"]["expired_at"]) == ("t2", NOW, OLD)
     assert got["e2"]["updated_at"] == OLD and got["e1"]["last_seen_at"] == OLD
-    assert (got["e9"]["id"], got["e9"]["title"], got["e9"]["first_seen_at"]) == (None, "new e9", NOW)
+    assert (got["e9"]["id"], got["e9"]["title"], got["e9"]["first_seen_at"]) == (4, "new e9", NOW)
     twice = upsert.upsert(once, batch, NOW)
     assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect()))
 
