@@ -22,7 +22,7 @@ from postlake.session import cut_lineage
 
 _OWN, _MARK, _TO, _TO_MARK, _PLACE = "__own", "__own_mark", "__to", "__to_mark", "__place"
 #: Pairs that two groups with a band in common are first tried by, and how often.
-TRIED, ROUNDS = 8, 2
+TRIED, ROUNDS = 8, 1
 #: Bytes of text that one group of confirmations holds.
 GROUP_BYTES = 8 << 20
 
