@@ -59,7 +59,7 @@ class SearchIndex:
             found = stem_words(found, self._words(words))
         else:
             found = found.withColumnRenamed("word", "lexeme")
-        self._write(as_postings(found, self.state["limits"]), number)
+        self._write(as_postings(found, self.state["limits"], packed=True), number)
         gone = self.state["gone"]
         if self.state["segments"]:
             jobs.select("id").write.mode("overwrite").parquet(f"{self.root}/gone/v={number}")

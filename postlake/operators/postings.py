@@ -4,6 +4,10 @@ Building it moves each posting once. Positions are grouped per document inside
 the row (sort the tokens, cut the array where the lexeme changes), so tokens
 are never shuffled; the one shuffle is the write by lexeme bucket, which splits
 a bucket made large by a lexeme that a third of all postings share.
+
+Until they are written, places are packed: one int each, position * 4 + field.
+As an array of structs a place is 32 bytes of a row, eight times as much to
+shuffle and sort.
 """
 
 from __future__ import annotations
@@ -53,11 +57,11 @@ def document_words(jobs: DataFrame, analyzer: str, keep: list[str]) -> DataFrame
 
 def in_fields(value: str) -> str:
     """SQL for one array over all fields. ``value`` is the entry for word ``t`` at
-    ``{p}`` with weight ``{w}``; null entries are left out."""
+    ``{p}`` in field number ``{f}`` with weight ``{w}``; null entries are left out."""
     offsets = ("0", "o1", "o2")
     parts = ", ".join(
-        f"transform({c}, (t, i) -> {value.format(p=f'i + 1 + {o}', w=f'{w}D')})"
-        for c, o, w in zip(("_a", "_b", "_c"), offsets, WEIGHTS.values())
+        f"transform({c}, (t, i) -> {value.format(p=f'i + 1 + {o}', f=f, w=f'{w}D')})"
+        for f, (c, o, w) in enumerate(zip(("_a", "_b", "_c"), offsets, WEIGHTS.values()))
     )
     return f"array_compact(concat({parts}))"
 
@@ -67,11 +71,11 @@ def word_positions(
 ) -> DataFrame:
     """``(id, word, places)``, one row per document and distinct word.
 
-    ``places`` is ``array<struct<p, w>>`` in text order, without the limits of
+    ``places`` is a packed ``array<int>`` in text order, without the limits of
     :func:`capped`. No shuffle: the sort and the cut happen inside the row.
     ``initials`` keeps words by their first letter, which no stemming changes.
     """
-    entry = "named_struct('x', t, 'p', {p}, 'w', {w})"
+    entry = "named_struct('x', t, 'p', ({p}) * 4 + {f})"
     if initials:
         listed = ", ".join(f"'{c}'" for c in initials)
         entry = f"IF(left(t, 1) IN ({listed}), {entry}, NULL)"
@@ -82,33 +86,42 @@ def word_positions(
     # No filter on empty documents: it would be copied below, tokenizing twice.
     cuts = "filter(sequence(0, size(a)), i -> i < size(a) AND (i = 0 OR a[i].x != a[i - 1].x)) AS s"
     starts = by_word.selectExpr("id", "a", cuts)
-    run = "named_struct('i', i, 'n', coalesce(get(s, n + 1), size(a)) - i)"
-    runs = starts.selectExpr("id", "a", f"explode(transform(s, (i, n) -> {run})) AS r")
-    return runs.selectExpr(
-        "id",
-        "a[r.i].x AS word",
-        "transform(slice(a, r.i + 1, r.n), t -> named_struct('p', t.p, 'w', t.w)) AS places",
-    )
+    # The runs are whole before explode: beside it, the array would be copied for every word of its document.
+    places = "transform(slice(a, i + 1, coalesce(get(s, n + 1), size(a)) - i), t -> t.p)"
+    run = f"named_struct('word', a[i].x, 'places', {places})"
+    runs = starts.selectExpr("id", f"explode(transform(s, (i, n) -> {run})) AS r")
+    return runs.selectExpr("id", "r.word AS word", "r.places AS places")
 
 
-def capped(places: str) -> str:
-    """SQL for the stored ``(p, w)`` of one lexeme, from its places in text order.
+def capped(places: str, packed: bool = False) -> str:
+    """SQL for the stored ``(p, w)``, or the packed places, of one lexeme from those in text order.
 
     Positions stop at the limit (of those at the limit the first is kept), and
     a lexeme has a greatest number of positions per field and in all. Most
     lexemes are far from either, and pass as they are.
     """
+    if packed:
+        p, in_field, stopped = "shiftright({}, 2)", "t & 3 = {f}", f"least(shiftright(t, 2), {MAX_POS}) * 4 + (t & 3)"
+    else:
+        p, in_field, stopped = "{}.p", "t.w = {w}D", f"named_struct('p', least(t.p, {MAX_POS}), 'w', t.w)"
     field = ", ".join(
-        f"slice(filter({places}, t -> t.w = {w}D), 1, {MAX_FIELD_POSITIONS})" for w in WEIGHTS.values()
+        f"slice(filter({places}, t -> {in_field.format(f=f, w=w)}), 1, {MAX_FIELD_POSITIONS})" for f, w in enumerate(WEIGHTS.values())
     )
-    placed = f"transform(concat({field}), t -> named_struct('p', least(t.p, {MAX_POS}), 'w', t.w))"
-    cut = f"filter(every, (t, i) -> i = 0 OR t.p < {MAX_POS} OR every[i - 1].p < {MAX_POS})"
+    placed = f"transform(concat({field}), t -> {stopped})"
+    cut = f"filter(every, (t, i) -> i = 0 OR {p.format('t')} < {MAX_POS} OR {p.format('every[i - 1]')} < {MAX_POS})"
     # transform(array(v), x -> ...)[0] names a value that is used repeatedly.
     limited = f"transform(array({placed}), every -> slice({cut}, 1, {MAX_POSITIONS}))[0]"
-    within = f"size({places}) <= {MAX_FIELD_POSITIONS} AND coalesce(get({places}, size({places}) - 1).p, 0) < {MAX_POS}"
+    last = p.format(f"get({places}, size({places}) - 1)")
+    within = f"size({places}) <= {MAX_FIELD_POSITIONS} AND coalesce({last}, 0) < {MAX_POS}"
     return f"IF({within}, {places}, {limited})"
 
 
+def unpacked(places: str) -> str:
+    """SQL for the stored ``(p, w)`` from packed places."""
+    a, b, c = WEIGHTS.values()
+    return f"transform({places}, t -> named_struct('p', shiftright(t, 2), 'w', CASE t & 3 WHEN 0 THEN {a}D WHEN 1 THEN {b}D ELSE {c}D END))"
+
+
 def stem_words(found: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """``(id, lexeme, places)`` from words with their places.
 
@@ -122,21 +135,26 @@ def stem_words(found: DataFrame, vocabulary: DataFrame | None = None) -> DataFra
     return stemmed.groupBy("id", "lexeme").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
 
 
-def as_postings(found: DataFrame, limits: bool = False) -> DataFrame:
-    """``postings(lexeme, id, positions array<struct<p int, w double>>)`` from ``(id, lexeme, places)``."""
-    return found.selectExpr("lexeme", "id", f"{capped('places') if limits else 'places'} AS positions")
+def as_postings(found: DataFrame, limits: bool = False, packed: bool = False) -> DataFrame:
+    """``postings(lexeme, id, positions array<struct<p int, w double>>)`` from ``(id, lexeme, places)``.
+
+    ``packed``: ``(lexeme, id, places)``, for :func:`write_postings`.
+    """
+    value = capped("places", packed=True) if limits else "places"
+    return found.selectExpr("lexeme", "id", f"{value} AS places" if packed else f"{unpacked(value)} AS positions")
 
 
 def build_postings(
-    jobs: DataFrame, analyzer: str = "simple", initials: list[str] | None = None, limits: bool = False
+    jobs: DataFrame, analyzer: str = "simple", initials: list[str] | None = None, limits: bool = False, packed: bool = False
 ) -> DataFrame:
     """The postings of documents.
 
-    ``limits`` applies those of :func:`capped`; without them every position of every document is kept.
+    ``limits`` applies those of :func:`capped`; without them every position of every document is kept. ``packed`` as in
+    :func:`as_postings`.
     """
     found = word_positions(jobs, analyzer, initials)
     found = stem_words(found) if analyzer == "english" else found.withColumnRenamed("word", "lexeme")
-    return as_postings(found, limits)
+    return as_postings(found, limits, packed)
 
 
 def lexeme_bucket(lexeme: Column, buckets: int = BUCKETS) -> Column:
@@ -157,7 +175,7 @@ def _stored_buckets(spark: SparkSession, path: str) -> int | None:
 
 
 def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Add postings to the index; new postings land in files of their own.
+    """Add postings, packed or not, to the index; new postings land in files of their own.
 
     The bucket count is kept with the index, and adding with another one is refused.
 
@@ -168,14 +186,11 @@ def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode:
     held = _stored_buckets(spark, path) if mode == "append" else None
     if held not in (None, buckets):
         raise IndexMismatch(f"the index has {held} buckets, not {buckets}")
-    (
-        postings.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
-        .hint("rebalance", F.col("bucket"))
-        .sortWithinPartitions("bucket", "lexeme", "id")
-        .write.mode(mode)
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    dealt = postings.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets)).hint("rebalance", F.col("bucket"))
+    sorted_rows = dealt.sortWithinPartitions("bucket", "lexeme", "id")
+    if "places" in postings.columns:
+        sorted_rows = sorted_rows.selectExpr("lexeme", "id", f"{unpacked('places')} AS positions", "bucket")
+    sorted_rows.write.mode(mode).partitionBy("bucket").parquet(path)
     if held is None:
         spark.sql(f"SELECT {int(buckets)} AS buckets").write.mode("overwrite").json(f"{path}/_settings")
 

@@ -221,7 +221,7 @@ def tsvector_upkeep(spark, d):
 def join_terms(spark, d):
     """The index is built, written by lexeme bucket, and read for three lexemes."""
     path = scratch_path(spark, "postings")
-    postings.write_postings(postings.build_postings(_jobs(spark, d), "simple", limits=True), path, buckets=8)
+    postings.write_postings(postings.build_postings(_jobs(spark, d), "simple", limits=True, packed=True), path, buckets=8)
     found = postings.read_postings(spark, path, ["the", "la", "und"], buckets=8)
     return found.select("id", "lexeme", F.size("positions").cast("bigint").alias("n"))
 
@@ -285,7 +285,7 @@ def search_indexed(spark, d):
     """``search_optimized`` over a written index."""
     jobs = _jobs(spark, d)
     path = scratch_path(spark, "postings")
-    postings.write_postings(postings.build_postings(jobs, "simple", limits=True), path, buckets=8)
+    postings.write_postings(postings.build_postings(jobs, "simple", limits=True, packed=True), path, buckets=8)
     index = postings.read_postings(spark, path, ["the", "of"], buckets=8)
     return _rounded(search.search_optimized(jobs, "the of", analyzer="simple", postings=index))
 

@@ -72,6 +72,20 @@ def test_index_is_kept_up(spark, analyzer):
     assert sum(r.documents for r in index.completions("titl").collect()) == now.where("expired_at IS NULL").count()
 
 
+def test_words_carry_no_document(spark):
+    """A word's row holds its own places, packed, and not those of its whole document."""
+    jobs = _jobs(spark, range(3))
+    found = postings.word_positions(jobs, "simple")
+    assert dict(found.dtypes)["places"] == "array<int>"
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate explode\(.*\), \[([^\[\]]*)\], false, \[", plan)
+    assert carried and all(re.fullmatch(r"id#\d+L?", c) for c in carried)
+    path = scratch_path(spark, "packed")
+    postings.write_postings(postings.build_postings(jobs, "simple", packed=True), path, 2)
+    want = sorted(map(str, postings.tsvector_rows(postings.build_postings(jobs, "simple")).collect()))
+    assert sorted(map(str, postings.tsvector_rows(postings.read_postings(spark, path)).collect())) == want
+
+
 def test_words_are_stemmed_once(spark):
     index = SearchIndex.create(spark, scratch_path(spark, "once"), "english", buckets=2)
     for word in ("alpha", "alpha", "beta"):
