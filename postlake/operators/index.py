@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 from postlake.functions.analyze import check_analyzer
 from postlake.functions.stem import with_stem
 from postlake.operators.filters import active
-from postlake.operators.postings import BUCKETS, IndexMismatch, as_postings, lexeme_bucket, stem_words, word_positions, write_postings
+from postlake.operators.postings import (
+    BUCKETS,
+    IndexMismatch,
+    as_postings,
+    lexeme_bucket,
+    word_positions,
+    write_postings,
+    write_stemmed,
+)
 from postlake.operators.versions import Versions
 from postlake.session import cut_lineage
 
@@ -51,15 +59,17 @@ class SearchIndex:
         """Index a batch of postings (ids unique); those of ids that are indexed already replace them."""
         number = self.versions.newest() + 1
         found = word_positions(jobs.where(active()), self.analyzer)
-        words = self.state["words"]
+        words, path = self.state["words"], self._segment(number)
         if self.analyzer == "english":
             found = cut_lineage(found, "index-words")
-            if self._learn(found, number):
+            counts = cut_lineage(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "index-counts")
+            if self._learn(counts, number):
                 words = [*words, number]
-            found = stem_words(found, self._words(words))
+            write_stemmed(found, self._words(words), counts, path, self.state["buckets"], self.state["limits"])
         else:
-            found = found.withColumnRenamed("word", "lexeme")
-        self._write(as_postings(found, self.state["limits"], packed=True), number)
+            found = as_postings(found.withColumnRenamed("word", "lexeme"), self.state["limits"], packed=True)
+            write_postings(found, path, self.state["buckets"], "overwrite")
+        self._write_terms(number)
         gone = self.state["gone"]
         if self.state["segments"]:
             jobs.select("id").write.mode("overwrite").parquet(f"{self.root}/gone/v={number}")
@@ -76,18 +86,19 @@ class SearchIndex:
         paths = [f"{self.root}/words/v={n}" for n in numbers]
         return self.spark.read.schema("word string, lexeme string").parquet(*paths)
 
-    def _learn(self, found: DataFrame, number: int) -> bool:
+    def _learn(self, counts: DataFrame, number: int) -> bool:
         """Stem the words that no earlier batch had, each once."""
-        new = found.select("word").distinct()
+        new = counts.select("word")
         if self.state["words"]:
             new = new.join(self._words(self.state["words"]).select("word"), "word", "left_anti")
         with_stem(new, "word", "lexeme").write.mode("overwrite").parquet(f"{self.root}/words/v={number}")
         return not self._words([number]).isEmpty()
 
-    def _write(self, postings: DataFrame, number: int) -> None:
-        path = f"{self.root}/postings/seg={number}"
-        write_postings(postings, path, self.state["buckets"], "overwrite")
-        written = self.spark.read.schema("lexeme string, id bigint").parquet(path)
+    def _segment(self, number: int) -> str:
+        return f"{self.root}/postings/seg={number}"
+
+    def _write_terms(self, number: int) -> None:
+        written = self.spark.read.schema("lexeme string, id bigint").parquet(self._segment(number))
         counts = written.groupBy("lexeme").agg(F.count(F.lit(1)).alias("n"))
         # In order of the term, so that a prefix is a range of few files and row groups.
         counts.repartitionByRange("lexeme").sortWithinPartitions("lexeme").write.mode("overwrite").parquet(f"{self.root}/terms/seg={number}")
@@ -116,7 +127,8 @@ class SearchIndex:
     def compact(self, keep: int = 1) -> None:
         """Merge all segments into one. States but the last ``keep`` go, and their files."""
         number = self.versions.newest() + 1
-        self._write(self.postings(), number)
+        write_postings(self.postings(), self._segment(number), self.state["buckets"], "overwrite")
+        self._write_terms(number)
         words = self.state["words"]
         if len(words) > 1:
             self._words(words).write.mode("overwrite").parquet(f"{self.root}/words/v={number}")

@@ -13,7 +13,7 @@ shuffle and sort.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlake.functions.analyze import (
@@ -29,6 +29,7 @@ from postlake.functions.analyze import (
 from postlake.functions.stem import with_stem
 
 BUCKETS = 256
+DEALT_ROWS = 1_000_000  # of a bucket, to one task
 
 
 def document_words(jobs: DataFrame, analyzer: str, keep: list[str]) -> DataFrame:
@@ -122,17 +123,32 @@ def unpacked(places: str) -> str:
     return f"transform({places}, t -> named_struct('p', shiftright(t, 2), 'w', CASE t & 3 WHEN 0 THEN {a}D WHEN 1 THEN {b}D ELSE {c}D END))"
 
 
-def stem_words(found: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(id, lexeme, places)`` from words with their places.
+def stem_words(found: DataFrame) -> DataFrame:
+    """``(id, lexeme, places)`` from words with their places: words that share a stem in one document are put together."""
+    stemmed = with_stem(found, "word", "lexeme")
+    return stemmed.groupBy("id", "lexeme").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def _merged_stems(found: DataFrame, vocabulary: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """``(lexeme, id, places, bucket)`` from words with their places, in order within each task.
 
-    ``vocabulary (word, lexeme)`` holds the stem of every word, made once and joined back; without it each row's word is
-    stemmed. Words that share a stem in one document are put together by a group-by.
+    ``vocabulary (word, lexeme)`` holds the stem of every word, and is joined back; ``counts (word, n)`` are the rows of
+    each. One shuffle puts the words of one stem together and deals the buckets out, a large one in slices by id.
     """
-    if vocabulary is None:
-        stemmed = with_stem(found, "word", "lexeme")
-    else:
-        stemmed = found.join(vocabulary, "word").select("id", "lexeme", "places")
-    return stemmed.groupBy("id", "lexeme").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+    bucket = lexeme_bucket(F.col("lexeme"), buckets)
+    per_bucket = counts.join(vocabulary, "word").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    slices = [1] * buckets
+    for row in per_bucket:
+        slices[row["bucket"]] = -(-row["n"] // DEALT_ROWS)
+    slice_ = f"pmod(xxhash64(id), array({', '.join(map(str, slices))})[bucket])"
+    rows = found.join(vocabulary, "word").withColumn("bucket", bucket).withColumn("slice", F.expr(slice_).cast("int"))
+    dealt = rows.repartition(sum(slices[row["bucket"]] for row in per_bucket) or 1, "bucket", "slice")
+    # The order of the files serves the grouping, too.
+    stem = Window.partitionBy("bucket", "lexeme", "id", "slice").orderBy("word")
+    whole = stem.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gathered = dealt.select("*", F.collect_list("places").over(whole).alias("all"), F.row_number().over(stem).alias("nth"))
+    first = gathered.where("nth = 1")
+    return first.selectExpr("lexeme", "id", "IF(size(all) = 1, places, sort_array(flatten(all))) AS places", "bucket")
 
 
 def as_postings(found: DataFrame, limits: bool = False, packed: bool = False) -> DataFrame:
@@ -190,9 +206,23 @@ def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode:
     sorted_rows = dealt.sortWithinPartitions("bucket", "lexeme", "id")
     if "places" in postings.columns:
         sorted_rows = sorted_rows.selectExpr("lexeme", "id", f"{unpacked('places')} AS positions", "bucket")
-    sorted_rows.write.mode(mode).partitionBy("bucket").parquet(path)
+    _write(sorted_rows, path, buckets, mode, held)
+
+
+def write_stemmed(
+    found: DataFrame, vocabulary: DataFrame, counts: DataFrame, path: str, buckets: int = BUCKETS, limits: bool = False
+) -> None:
+    """A new index of words with their places, by stem; arguments as of :func:`_merged_stems`."""
+    merged = _merged_stems(found, vocabulary, counts, buckets)
+    value = capped("places", packed=True) if limits else "places"
+    _write(merged.selectExpr("lexeme", "id", f"{unpacked(value)} AS positions", "bucket"), path, buckets, "overwrite", None)
+
+
+def _write(rows: DataFrame, path: str, buckets: int, mode: str, held: int | None) -> None:
+    rows.write.mode(mode).partitionBy("bucket").parquet(path)
     if held is None:
-        spark.sql(f"SELECT {int(buckets)} AS buckets").write.mode("overwrite").json(f"{path}/_settings")
+        settings = rows.sparkSession.sql(f"SELECT {int(buckets)} AS buckets")
+        settings.write.mode("overwrite").json(f"{path}/_settings")
 
 
 def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = None, buckets: int | None = None) -> DataFrame:

@@ -86,6 +86,22 @@ def test_words_carry_no_document(spark):
     assert sorted(map(str, postings.tsvector_rows(postings.read_postings(spark, path)).collect())) == want
 
 
+def test_stems_meet_in_one_shuffle(spark, monkeypatch):
+    """Words of one stem meet where their bucket is written, in slices by id where it is large."""
+    monkeypatch.setattr(postings, "DEALT_ROWS", 20)
+    jobs = _jobs(spark, range(60), gone=[7])
+    index = SearchIndex.create(spark, scratch_path(spark, "sliced"), "english", buckets=2)
+    index.add(jobs)
+    _same(index, jobs)
+    assert len(glob.glob(f"{index._segment(1).removeprefix('file:')}/bucket=*/*.parquet")) > 4
+    assert index.postings().groupBy("lexeme", "id").count().where("count > 1").isEmpty()
+    found = postings.word_positions(jobs, "english")
+    counts = found.groupBy("word").count().withColumnRenamed("count", "n")
+    merged = postings._merged_stems(found, index._words(index.state["words"]), counts, 2)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and not re.search(r"hashpartitioning\((id|lexeme)#", plan)
+
+
 def test_words_are_stemmed_once(spark):
     index = SearchIndex.create(spark, scratch_path(spark, "once"), "english", buckets=2)
     for word in ("alpha", "alpha", "beta"):
