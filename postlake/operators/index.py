@@ -20,14 +20,20 @@ from postlake.operators.postings import (
     IndexMismatch,
     as_postings,
     lexeme_bucket,
+    unpacked,
     word_positions,
+    write_merged,
     write_postings,
     write_stemmed,
 )
 from postlake.operators.versions import Versions
-from postlake.session import cut_lineage
+from postlake.session import cut_lineage, frees_shuffles
 
-_POSTINGS = "lexeme string, id bigint, positions array<struct<p:int,w:double>>, seg bigint, bucket int"
+# Places stay packed in the files, so that a merge moves ints, and a read unpacks what it found.
+_POSTINGS = "lexeme string, id bigint, places array<int>, seg bigint, bucket int"
+
+ADD_PASSES = 4  # at most
+ADDED_AT_ONCE = 10_000  # documents at least, to each core
 
 
 class SearchIndex:
@@ -38,11 +44,13 @@ class SearchIndex:
         if self.versions.newest() < 0:
             raise IndexMismatch(f"there is no index at {root}")
         self.state = self.versions.read()
+        if self.state.get("stored") != "places":
+            raise IndexMismatch(f"the index at {root} was written by an earlier version")
 
     @classmethod
     def create(cls, spark: SparkSession, root: str, analyzer: str = "english", buckets: int = BUCKETS, limits: bool = False) -> SearchIndex:
         """An empty index. ``limits``: with the limits on positions of :func:`postlake.operators.postings.capped`."""
-        settings = {"analyzer": check_analyzer(analyzer), "buckets": int(buckets), "limits": bool(limits)}
+        settings = {"analyzer": check_analyzer(analyzer), "buckets": int(buckets), "limits": bool(limits), "stored": "places"}
         Versions(spark, root).commit(0, settings | {"segments": [], "gone": [], "words": []})
         return cls(spark, root)
 
@@ -55,20 +63,22 @@ class SearchIndex:
         self.versions.commit(number, state)
         self.state = state
 
+    @frees_shuffles
     def add(self, jobs: DataFrame) -> None:
         """Index a batch of postings (ids unique); those of ids that are indexed already replace them."""
         number = self.versions.newest() + 1
-        found = word_positions(jobs.where(active()), self.analyzer)
         words, path = self.state["words"], self._segment(number)
         if self.analyzer == "english":
-            found = cut_lineage(found, "index-words")
+            found = cut_lineage(word_positions(jobs.where(active()), self.analyzer), "index-words")
             counts = cut_lineage(found.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "index-counts")
             if self._learn(counts, number):
                 words = [*words, number]
             write_stemmed(found, self._words(words), counts, path, self.state["buckets"], self.state["limits"])
         else:
-            found = as_postings(found.withColumnRenamed("word", "lexeme"), self.state["limits"], packed=True)
-            write_postings(found, path, self.state["buckets"], "overwrite")
+            for n, part in enumerate(_parts(jobs.where(active()))):
+                found = word_positions(part, self.analyzer).withColumnRenamed("word", "lexeme")
+                found = as_postings(found, self.state["limits"], packed=True)
+                write_postings(found, path, self.state["buckets"], "append" if n else "overwrite", stored="places")
         self._write_terms(number)
         gone = self.state["gone"]
         if self.state["segments"]:
@@ -76,6 +86,7 @@ class SearchIndex:
             gone = [*gone, number]
         self._commit(number, segments=[*self.state["segments"], number], gone=gone, words=words)
 
+    @frees_shuffles
     def delete(self, ids: DataFrame) -> None:
         """Take the postings of ``ids`` (column id) out."""
         number = self.versions.newest() + 1
@@ -109,25 +120,33 @@ class SearchIndex:
         rows = self.spark.read.schema("id bigint, v bigint").option("basePath", f"{self.root}/gone").parquet(*paths)
         return rows.groupBy(F.col("id").alias("gone_id")).agg(F.max("v").alias("v"))
 
-    def postings(self, lexemes: list[str] | None = None) -> DataFrame:
-        """(lexeme, id, positions) that count now: all, or those of some lexemes, from their buckets alone."""
-        schema = "lexeme string, id bigint, positions array<struct<p:int,w:double>>"
+    def _segments(self, *numbers: int) -> DataFrame:
+        paths = [self._segment(n) for n in numbers]
+        return self.spark.read.schema(_POSTINGS).option("basePath", f"{self.root}/postings").parquet(*paths)
+
+    def postings(self, lexemes: list[str] | None = None, packed: bool = False) -> DataFrame:
+        """(lexeme, id, positions), or packed (lexeme, id, places), that count now: all, or those of some lexemes, from their buckets alone."""
+        schema = "lexeme string, id bigint, " + ("places array<int>" if packed else "positions array<struct<p:int,w:double>>")
         if not self.state["segments"] or lexemes == []:
             return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/postings/seg={n}" for n in self.state["segments"]]
-        rows = self.spark.read.schema(_POSTINGS).option("basePath", f"{self.root}/postings").parquet(*paths)
+        rows = self._segments(*self.state["segments"])
         if lexemes is not None:
             buckets = [lexeme_bucket(F.lit(x), self.state["buckets"]) for x in lexemes]
             rows = rows.where(F.col("bucket").isin(*buckets) & F.col("lexeme").isin(*lexemes))
         if self.state["gone"]:
             gone = self._gone()
             rows = rows.join(gone, (rows["id"] == gone["gone_id"]) & (rows["seg"] < gone["v"]), "left_anti")
-        return rows.select("lexeme", "id", "positions")
+        return rows.selectExpr("lexeme", "id", "places" if packed else f"{unpacked('places')} AS positions")
 
+    @frees_shuffles
     def compact(self, keep: int = 1) -> None:
         """Merge all segments into one. States but the last ``keep`` go, and their files."""
         number = self.versions.newest() + 1
-        write_postings(self.postings(), self._segment(number), self.state["buckets"], "overwrite")
+        if self.state["segments"]:
+            gone = self._gone() if self.state["gone"] else None
+            write_merged(self._segments(*self.state["segments"]), gone, self._segment(number), self.state["buckets"])
+        else:
+            write_postings(self.postings(packed=True), self._segment(number), self.state["buckets"], "overwrite", stored="places")
         self._write_terms(number)
         words = self.state["words"]
         if len(words) > 1:
@@ -150,6 +169,15 @@ class SearchIndex:
         return counts.orderBy(F.desc("documents"), "lexeme").limit(k)
 
 
+def _parts(jobs: DataFrame) -> list[DataFrame]:
+    """``jobs`` in a few parts by id, if there are many: what is shuffled at a time is then a part of the batch."""
+    at_once = ADDED_AT_ONCE * jobs.sparkSession.sparkContext.defaultParallelism
+    wanted = min(ADD_PASSES, -(-jobs.count() // at_once))
+    if wanted < 2:
+        return [jobs]
+    return [jobs.where(F.pmod(F.xxhash64("id"), F.lit(wanted)) == n) for n in range(wanted)]
+
+
 def _folders(state: dict) -> list[str]:
     named = [f"{kind}/seg={n}" for n in state["segments"] for kind in ("postings", "terms")]
     return named + [f"gone/v={n}" for n in state["gone"]] + [f"words/v={n}" for n in state["words"]]

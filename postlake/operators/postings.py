@@ -26,10 +26,16 @@ from postlake.functions.analyze import (
     stop_list,
     words,
 )
+from postlake.functions.settle import settle
 from postlake.functions.stem import with_stem
+from postlake.session import set_within, shuffles_freed
 
 BUCKETS = 256
 DEALT_ROWS = 1_000_000  # of a bucket, to one task
+MERGE_PASSES = 8  # at most, over parts of the buckets
+
+# Ids follow each other within a lexeme, so their differences are small.
+_FILES = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#id": "false"}
 
 
 def document_words(jobs: DataFrame, analyzer: str, keep: list[str]) -> DataFrame:
@@ -190,36 +196,94 @@ def _stored_buckets(spark: SparkSession, path: str) -> int | None:
     return row and row[0]
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+def write_postings(postings: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append", stored: str = "positions") -> None:
     """Add postings, packed or not, to the index; new postings land in files of their own.
 
-    The bucket count is kept with the index, and adding with another one is refused.
+    The bucket count is kept with the index, and adding with another one is refused. ``stored``: "places" leaves packed
+    postings packed.
 
     The shuffle is by bucket, and rebalanced by measured size: a bucket that one
-    lexeme made large is split over as many tasks and files as it takes.
+    lexeme made large is split over as many tasks and files as it takes. Each task
+    sends its postings in order: they take half the room on disk, and what arrives
+    is sorted runs.
     """
     spark = postings.sparkSession
     held = _stored_buckets(spark, path) if mode == "append" else None
     if held not in (None, buckets):
         raise IndexMismatch(f"the index has {held} buckets, not {buckets}")
-    dealt = postings.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets)).hint("rebalance", F.col("bucket"))
-    sorted_rows = dealt.sortWithinPartitions("bucket", "lexeme", "id")
-    if "places" in postings.columns:
-        sorted_rows = sorted_rows.selectExpr("lexeme", "id", f"{unpacked('places')} AS positions", "bucket")
-    _write(sorted_rows, path, buckets, mode, held)
+    runs = postings.sortWithinPartitions("lexeme", "id")
+    _write(_dealt(runs, buckets), path, buckets, mode, held, stored)
+
+
+def _dealt(runs: DataFrame, buckets: int) -> DataFrame:
+    # The optimizer drops a sort below another one; it does not look below an explode.
+    dealt = settle(runs, "bucket", lexeme_bucket(F.col("lexeme"), buckets)).hint("rebalance", F.col("bucket"))
+    return dealt.sortWithinPartitions("bucket", "lexeme", "id")
+
+
+def write_merged(segments: DataFrame, gone: DataFrame | None, path: str, buckets: int) -> None:
+    """A new index of ``segments (lexeme, id, places, seg, bucket)`` without what later ones replaced.
+
+    ``gone (gone_id, v)``: the postings of an id in segments before ``v`` do not count. The buckets are merged in a few
+    passes, so that what is shuffled at a time is a part of the index.
+    """
+    spark = segments.sparkSession
+    sizes = {r["bucket"]: r["n"] for r in segments.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ids = gone.count() if gone is not None else 0
+    at_once = DEALT_ROWS * spark.sparkContext.defaultParallelism
+    held = None
+    for chosen in _passes(sizes, min(MERGE_PASSES, -(-sum(sizes.values()) // at_once))):
+        tasks = {b: -(-max(sizes[b], ids) // DEALT_ROWS) for b in chosen}  # by its rows, and the ids to look up
+        # One shuffle meets the ids and makes the files: by bucket and slice of ids, the key by which both sides are dealt.
+        with set_within(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+            rows = _sliced(segments.where(F.col("bucket").isin(*chosen)), "id", tasks)
+            if gone is not None:
+                every = gone.select("*", F.explode(F.lit(chosen).cast("array<int>")).alias("bucket"))
+                out = _sliced(every, "gone_id", tasks).withColumnsRenamed({"bucket": "gone_bucket", "slice": "gone_slice"})
+                same = "bucket = gone_bucket AND slice = gone_slice AND id = gone_id AND seg < v"
+                # A merge join would sort the postings by id; they come as sorted runs. An anti join would be moved
+                # below the shuffle, and ask for one of its own.
+                rows = rows.join(out.hint("shuffle_hash"), F.expr(same), "left").where("gone_id IS NULL")
+            merged = rows.select("lexeme", "id", "places", "bucket").sortWithinPartitions("bucket", "lexeme", "id")
+            _write(merged, path, buckets, "append" if held else "overwrite", held, "places")
+        held = buckets
+
+
+def _sliced(rows: DataFrame, key: str, tasks: dict[int, int]) -> DataFrame:
+    """Adds ``slice``, by ``key``, and deals the rows out by bucket and slice, to as many tasks as all buckets have.
+
+    Few large buckets are cut finer than that, as slices fall on tasks by chance.
+    """
+    finer = max(1, 16 // max(1, len(tasks)))
+    counts = ", ".join(f"{b}, {n * finer if n > 1 else 1}" for b, n in tasks.items())
+    slice_ = f"pmod(xxhash64({key}), map({counts})[bucket])" if tasks else "0"
+    return rows.withColumn("slice", F.expr(slice_).cast("int")).repartition(sum(tasks.values()) or 1, "bucket", "slice")
+
+
+def _passes(sizes: dict[int, int], wanted: int) -> list[list[int]]:
+    """The buckets in ``wanted`` groups of about the same size, fewer if there are fewer; one group at least."""
+    groups = [[0, []] for _ in range(max(1, min(wanted, len(sizes))))]
+    for bucket in sorted(sizes, key=lambda b: (-sizes[b], b)):
+        least = min(groups, key=lambda g: g[0])
+        least[0] += sizes[bucket]
+        least[1].append(bucket)
+    return [chosen for _, chosen in groups]
 
 
 def write_stemmed(
     found: DataFrame, vocabulary: DataFrame, counts: DataFrame, path: str, buckets: int = BUCKETS, limits: bool = False
 ) -> None:
-    """A new index of words with their places, by stem; arguments as of :func:`_merged_stems`."""
+    """A new index of words with their places, by stem, packed; arguments as of :func:`_merged_stems`."""
     merged = _merged_stems(found, vocabulary, counts, buckets)
     value = capped("places", packed=True) if limits else "places"
-    _write(merged.selectExpr("lexeme", "id", f"{unpacked(value)} AS positions", "bucket"), path, buckets, "overwrite", None)
+    _write(merged.selectExpr("lexeme", "id", f"{value} AS places", "bucket"), path, buckets, "overwrite", None, "places")
 
 
-def _write(rows: DataFrame, path: str, buckets: int, mode: str, held: int | None) -> None:
-    rows.write.mode(mode).partitionBy("bucket").parquet(path)
+def _write(rows: DataFrame, path: str, buckets: int, mode: str, held: int | None, stored: str) -> None:
+    if stored == "positions" and "places" in rows.columns:
+        rows = rows.selectExpr("lexeme", "id", f"{unpacked('places')} AS positions", "bucket")
+    with shuffles_freed(rows.sparkSession):
+        rows.write.mode(mode).options(**_FILES).partitionBy("bucket").parquet(path)
     if held is None:
         settings = rows.sparkSession.sql(f"SELECT {int(buckets)} AS buckets")
         settings.write.mode("overwrite").json(f"{path}/_settings")
@@ -247,7 +311,10 @@ def read_postings(spark: SparkSession, path: str, lexemes: list[str] | None = No
 
 
 def tsvector_rows(postings: DataFrame) -> DataFrame:
-    """Positions as text with weight letters, e.g. ``1A,7C``."""
+    """Positions, packed or not, as text with weight letters, e.g. ``1A,7C``."""
+    if "places" in postings.columns:
+        text = F.expr("array_join(transform(places, t -> concat(CAST(shiftright(t, 2) AS STRING), array('A', 'B', 'C')[t & 3])), ',')")
+        return postings.select("id", "lexeme", text.alias("positions"))
     letter = lambda w: F.when(w == 1.0, "A").when(w == 0.4, "B").otherwise("C")
     text = F.array_join(
         F.transform("positions", lambda s: F.concat(s["p"].cast("string"), letter(s["w"]))), ","

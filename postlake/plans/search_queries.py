@@ -214,7 +214,7 @@ def tsvector_upkeep(spark, d):
     index.add(jobs.where((F.col("id") % 3 == 0) | ~active()))
     index.delete(jobs.where("id % 11 = 0"))
     index.compact()
-    return postings.tsvector_rows(index.postings())
+    return postings.tsvector_rows(index.postings(packed=True))
 
 
 @query("join_terms", BASE + "SELECT id, lexeme, count(*) AS n FROM hits WHERE lexeme IN ('the', 'la', 'und') GROUP BY 1, 2")

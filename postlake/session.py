@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +75,36 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def set_within(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def shuffles_freed(spark: SparkSession):
+    """What a query within has shuffled goes when the query ends.
+
+    Otherwise it stays until the driver happens to collect its garbage, and the shuffles of many writes lie on the disks
+    together.
+    """
+    return set_within(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def frees_shuffles(method: Callable) -> Callable:
+    """For a method of a table with a ``spark``: :func:`shuffles_freed` holds within."""
+
+    @wraps(method)
+    def freeing(self, *args, **named):
+        with shuffles_freed(self.spark):
+            return method(self, *args, **named)
+
+    return freeing
+
+
 def at_least_parallel(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a scan that has fewer splits than the cluster has cores.
 

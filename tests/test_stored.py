@@ -5,11 +5,13 @@ import glob
 import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from postlake.operators import expiry, postings, search, stored_listing
+from postlake.operators import index as index_module
 from postlake.operators.filters import JobFilters, lookup_by_id
 from postlake.operators.ids import number_in_order
 from postlake.operators.index import SearchIndex
@@ -102,6 +104,87 @@ def test_stems_meet_in_one_shuffle(spark, monkeypatch):
     assert plan.count("REPARTITION_BY_NUM") == 1 and not re.search(r"hashpartitioning\((id|lexeme)#", plan)
 
 
+def _shuffle_files(spark):
+    disks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in disks.getAllFiles().mkString("\n").split("\n") if re.search(r"shuffle_.*data$", f)}
+
+
+@pytest.mark.parametrize("analyzer", ["simple", "english"])
+def test_index_leaves_no_shuffle(spark, analyzer):
+    """What a write has shuffled is gone from the disks after it, and the session's settings are as before."""
+    settings = {n: spark.conf.get(n) for n in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.requireAllClusterKeysForCoPartition")}
+    index = SearchIndex.create(spark, scratch_path(spark, "tidy"), analyzer, buckets=2)
+    steps = [lambda: index.add(_jobs(spark, range(20))), lambda: index.add(_jobs(spark, range(9, 30), "new")), lambda: index.delete(_jobs(spark, [1])), index.compact]
+    for step in steps:
+        before = _shuffle_files(spark)
+        step()
+        until = time.time() + 20  # they are deleted in the background
+        while _shuffle_files(spark) - before and time.time() < until:
+            time.sleep(0.2)
+        assert not _shuffle_files(spark) - before
+    assert settings == {n: spark.conf.get(n) for n in settings}
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 20])
+def test_index_is_merged_in_passes(spark, monkeypatch, buckets):
+    """Many rows are added by parts of the batch, and merged by parts of the buckets; each posting is shuffled once."""
+    monkeypatch.setattr(postings, "DEALT_ROWS", 5)
+    monkeypatch.setattr(index_module, "ADDED_AT_ONCE", 1)
+    written, write = [], postings._write
+
+    def spied(rows, path, *args):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        written.append((path, plan))
+        write(rows, path, *args)
+
+    monkeypatch.setattr(postings, "_write", spied)
+    index = SearchIndex.create(spark, scratch_path(spark, "passes"), "simple", buckets=buckets)
+    index.add(_jobs(spark, range(40)))
+    assert len(written) == index_module.ADD_PASSES
+    index.add(_jobs(spark, range(30, 60), "novel", gone=[31]))
+    index.delete(_jobs(spark, [2, 33, 59]))
+    index.add(_jobs(spark, [2], "back"))
+    now = _jobs(spark, range(30)).where("id <> 2").unionByName(_jobs(spark, range(30, 59), "novel", gone=[31]).where("id <> 33")).unionByName(_jobs(spark, [2], "back"))
+    _same(index, now)
+    written.clear()
+    index.compact()
+    _same(index, now)
+    assert len(written) == min(buckets, postings.MERGE_PASSES)
+    # The two sides meet as they are dealt out; only the ids are gathered before.
+    assert all(p.count("REPARTITION_BY_NUM") == 2 and "ShuffledHashJoin" in p and p.count("ENSURE_REQUIREMENTS") == 1 for _, p in written)
+    assert index.postings().groupBy("lexeme", "id").count().where("count > 1").isEmpty()
+
+
+def test_an_empty_index_is_merged(spark):
+    index = SearchIndex.create(spark, scratch_path(spark, "none"), "simple", buckets=4)
+    index.compact()
+    index.add(_jobs(spark, range(3), gone=range(3)))
+    index.add(_jobs(spark, range(2), gone=range(2)))
+    index.compact()
+    _same(index, _jobs(spark, []))
+    index.add(_jobs(spark, range(5)))
+    index.delete(_jobs(spark, range(5)))
+    index.compact()
+    _same(index, _jobs(spark, []))
+    index.add(_jobs(spark, range(5)))
+    index.compact()
+    _same(index, _jobs(spark, range(5)))
+
+
+def test_packed_and_unpacked_texts_are_one(spark):
+    index = SearchIndex.create(spark, scratch_path(spark, "texts"), "simple", buckets=2)
+    index.add(_jobs(spark, range(5)))
+    texts = [sorted(map(str, postings.tsvector_rows(index.postings(packed=p)).collect())) for p in (True, False)]
+    assert texts[0] == texts[1] and any("A" in t for t in texts[0]) and dict(index.postings(packed=True).dtypes)["places"] == "array<int>"
+
+
+def test_old_indexes_are_refused(spark):
+    root = scratch_path(spark, "earlier")
+    Versions(spark, root).commit(0, {"analyzer": "simple", "buckets": 2, "limits": False, "segments": [], "gone": [], "words": []})
+    with pytest.raises(IndexMismatch):
+        SearchIndex(spark, root)
+
+
 def test_words_are_stemmed_once(spark):
     index = SearchIndex.create(spark, scratch_path(spark, "once"), "english", buckets=2)
     for word in ("alpha", "alpha", "beta"):
