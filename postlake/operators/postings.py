@@ -35,7 +35,7 @@ DEALT_ROWS = 1_000_000  # of a bucket, to one task
 MERGE_PASSES = 8  # at most, over parts of the buckets
 
 # Ids follow each other within a lexeme, so their differences are small.
-_FILES = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#id": "false"}
+_FILES = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#id": "false"}
 
 
 def document_words(jobs: DataFrame, analyzer: str, keep: list[str]) -> DataFrame:
